@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, toxicity
-from .common import fold, table
+from . import decontaminate, exact, ngram, tokenfile, toxicity
+from .common import Scratch, fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,21 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTIT
   doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)
 """
+
+
+@_query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Path of a vocabulary file and the id that ends a document.
+WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+@_query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = tokenfile.write_tokens(docs, public_tokenizers.path(WORD_VOCABULARY), END_ID, Scratch(spark, "tokens"))
+    return tokenfile.read_tokens(shards)
