@@ -153,7 +153,8 @@ def _pooled(evidence: list[float], labels: list[int]) -> tuple[tuple[float, floa
 
 def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityModel:
     """Train both dictionaries on two thirds of the sample and calibrate on the rest."""
-    cut = [((t or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split(), y) for t, y in sample]
+    pool: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
+    cut = [([pool.setdefault(w, w) for w in (t or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()], y) for t, y in sample]
     part = [(w, y) for i, (w, y) in enumerate(cut) if i % 3]
     toxic, ordinary = [w for w, y in part if y], [w for w, y in part if not y]
     seen, plain = Counter(), Counter()
