@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, ngram, tokenfile, toxicity
+from . import decontaminate, exact, langid, ngram, secrets, tokenfile, toxicity, urlfilter
 from .common import Scratch, fold, table
 
 QUERIES: dict = {}
@@ -91,3 +91,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = tokenfile.write_tokens(docs, public_tokenizers.path(WORD_VOCABULARY), END_ID, Scratch(spark, "tokens"))
     return tokenfile.read_tokens(shards)
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)))
+    model = langid.fit_languages(langid.language_counts(docs.where(~F.col("held_out"))))
+    found = docs.select("doc_id", "held_out", langid.predict_language(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.n_spans")
+
+
+@_query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secret_findings(docs, Scratch(spark, "ledger").path())
+    of = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = listed(F.filter("findings", lambda s: s["kind"].isin(*secrets.BASE)))
+    return found.select("doc_id", *map(of, secrets.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pages are those of the documents of the same id: of low quality or toxic is bad."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return urlfilter.judge_urls(pages, labels)
