@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, ngram, secrets, tokenfile, toxicity, urlfilter
+from . import decontaminate, exact, langid, linededup, ngram, pieces, secrets, tokenfile, toxicity, urlfilter
 from .common import Scratch, fold, table
 
 QUERIES: dict = {}
@@ -25,6 +25,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
+#: Vocabulary file of the piece sampler.
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+
+
+@_query
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECE_VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.withColumn("pieces", pieces.encode_pieces(F.col("doc_id"), F.col("text"), path))
+    back = coded.withColumn("decoded", pieces.decode_pieces(F.col("pieces"), path))
+    return back.select("doc_id", (F.length("pieces") / 4).cast("long").alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 @_query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
