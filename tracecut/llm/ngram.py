@@ -161,8 +161,8 @@ def _groups(parts: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what is apart so far."""
+def _forest(n: int, a: np.ndarray, b: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges that join what is apart so far; ``known`` edges join first and are not told again."""
     root = list(range(n))
 
     def top(i: int) -> int:
@@ -172,11 +172,13 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         return i
 
     out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(i), top(j)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((i, j))
+    for told, (x, y) in ((False, known or ((), ())), (True, (a, b))):
+        for i, j in zip(np.asarray(x).tolist(), np.asarray(y).tolist(), strict=True):
+            p, q = top(i), top(j)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                if told:
+                    out.append((i, j))
     return out
 
 
@@ -187,6 +189,17 @@ def _sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, (left if bi == bj else np.flatnonzero(mine == bj)), bool(bi == bj)
 
 
+def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different rows whose sketches agree in at least that share of their bytes."""
+    a, b = [], []
+    for i in left.tolist():
+        j = right[(sketch[right] == sketch[i]).mean(axis=1) >= least]
+        j = j[j != i]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def likely_edges(reps: DataFrame, scratch: Scratch, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): a spanning forest, prefix by prefix, of the pairs whose sketches are near enough."""
     heads = scratch.keep(reps.select(F.col("rep"), F.posexplode("prefixes").alias("tree", "head")))
@@ -204,13 +217,10 @@ def likely_edges(reps: DataFrame, scratch: Scratch, block: int = BLOCK, threshol
                 continue
             ids = g["rep"].to_numpy()
             sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
-            for at in range(0, len(left), 64):
-                some = left[at : at + 64]
-                like = np.stack([(sketch[right] == sketch[i]).mean(axis=1) for i in some]) >= least
-                i, j = np.nonzero(like)
-                i, j = some[i], right[j]
-                ok = (i < j) if same else np.ones(len(i), bool)
-                out += [(ids[p], ids[q]) for p, q in _forest(len(g), i[ok], j[ok])]
+            # What joins inside a block is told by the block's own pair; here it only keeps the edges across few.
+            known = None if same else tuple(np.concatenate(x) for x in zip(_alike(sketch, left, left, least), _alike(sketch, right, right, least), strict=True))
+            i, j = _alike(sketch, left, right, least)
+            out += [(ids[p], ids[q]) for p, q in _forest(len(g), i, j, known)]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
@@ -261,14 +271,16 @@ def verified(texts: DataFrame, block: int = BLOCK, threshold: float = THRESHOLD)
             # |A n B| / |A u B| >= threshold, without a division
             linked = both * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
             np.fill_diagonal(linked, False)
+            every = linked.copy()
             if not same:
                 across = np.zeros_like(linked)
                 across[np.ix_(left, right)] = True
                 linked &= across | across.T
             count = linked.sum(axis=1)
             out += [(int(ids[i]), -1, int(count[i])) for i in np.flatnonzero(count)]
+            known = None if same else np.nonzero(np.triu(every & ~linked))
             i, j = np.nonzero(np.triu(linked))
-            out += [(int(ids[p]), int(ids[q]), 0) for p, q in _forest(len(g), i, j)]
+            out += [(int(ids[p]), int(ids[q]), 0) for p, q in _forest(len(g), i, j, known)]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b", "n"])
                 out = []
@@ -287,7 +299,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     scratch = Scratch(docs.sparkSession, "ngram")
     depth = prefix_depth(recall, threshold)
     signed = scratch.keep(signatures(docs.where(F.col("doc_id").isNotNull()), depth))
-    sets = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"))
+    # Written, so that the join shuffles both sides itself and a set that many rows share can be split among tasks.
+    sets = scratch.keep(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies")))
     members = scratch.keep(signed.select("doc_id", "key").distinct().join(sets, "key").select("doc_id", "rep", "n_copies"))
     reps = signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "sketch")
     reps = scratch.keep(reps)
