@@ -39,7 +39,8 @@ _encoders: dict = {}
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur and their frequencies, at least 1 each, that sum to 2**SCALE."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    every = np.bincount(ids) if len(ids) and int(ids.max()) < 1 << 22 else None
+    symbols, counts = np.unique(ids, return_counts=True) if every is None else (np.flatnonzero(every), every[every > 0])
     if not len(symbols):
         return symbols.astype(np.uint32), counts.astype(np.uint32)
     total = 1 << SCALE
@@ -62,10 +63,15 @@ def encode_tokens(ids: np.ndarray) -> bytes:
     table = zlib.compress(np.diff(symbols, prepend=np.uint32(0)).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
     if not blocks:
         return head + struct.pack("<I", len(table)) + table
-    rank = np.searchsorted(symbols, ids)
+    if int(symbols[-1]) < 1 << 22:
+        number = np.zeros(int(symbols[-1]) + 1, np.int32)
+        number[symbols] = np.arange(len(symbols))
+        rank = number[ids]
+    else:
+        rank = np.searchsorted(symbols, ids).astype(np.int32)
     start = np.concatenate([[0], np.cumsum(f.astype(np.uint64))[:-1]]).astype(np.uint64)
     wide = f.astype(np.uint64)
-    padded = np.zeros(blocks * BLOCK, dtype=np.int64)
+    padded = np.zeros(blocks * BLOCK, dtype=np.int32)
     padded[: len(ids)] = rank
     grid = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).transpose(1, 0, 2))
     x = np.full((blocks, LANES), _LOW, dtype=np.uint64)
@@ -162,10 +168,15 @@ def unpack_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 class Encoder:
-    """Whole texts to ids. The vocabulary's tokenizer never joins across white space, so runs between the four common
-    white space characters are encoded once each and kept up to a bound; texts with a special token's mark go in whole."""
+    """Whole texts to ids. The vocabulary's tokenizer never joins across white space, so words between white space are
+    encoded once each and kept up to a bound; texts with a special token's mark go in whole.
 
-    _run = re.compile("[^ \t\n\r]+")
+    New words are encoded many at a time, as one text with a mark between them that is a token of its own. A word of
+    ASCII letters has the ids of its lower-case form, and a comma or full stop after one adds its own.
+    """
+
+    MARK = "\x01"
+    _between = f" {MARK} "
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,31 +184,59 @@ class Encoder:
 
         self.tokenizer, self.end, self.kept = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        (self.mark,) = self._whole([self.MARK])[0]
+        self.after = {c: np.array(ids, dtype="<u4").tobytes() for c, ids in zip(",.", self._whole([",", "."]), strict=True)}
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, text: str) -> list[str]:
+        """Split at white space; of what Python takes for it, the tokenizer keeps four control characters as signs."""
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return re.findall("[^ \t\n\r]+", text)
+        return text.split()
+
+    def _learn(self, words: list[str]) -> None:
+        kept, forms = self.kept, {}
+        for w in words:
+            stem, last = w, w[-1]
+            if last in self.after and w[:-1].isascii() and w[-2:-1].isalpha():
+                stem = w[:-1]
+            else:
+                last = ""
+            forms[w] = (stem.lower() if stem.isascii() else stem, last)
+        new = [x for x in {stem for stem, _ in forms.values()} if x not in kept]
+        apart = [x for x in new if self.MARK in x]
+        kept.update(zip(apart, (np.array(ids, dtype="<u4").tobytes() for ids in self._whole(apart)), strict=True))
+        new = [x for x in new if self.MARK not in x] if apart else new
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
+            ids = np.array(self._whole([self._between.join(part)])[0], dtype="<u4")
+            cut = np.flatnonzero(ids == self.mark) * 4
+            raw = ids.tobytes()
+            kept.update(zip(part, (raw[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)), strict=True))
+        for w, (stem, last) in forms.items():
+            kept[w] = kept[stem] + self.after[last] if last else kept[stem]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
         if len(self.kept) > CACHE:
             self.kept = {}
-        kept, runs, whole = self.kept, [], {}
+        runs, whole = [], {}
         for i, t in enumerate(texts):
             t = t or ""
             if any(s in t for s in self.special):
                 whole[i] = t
                 runs.append([])
             else:
-                runs.append(self._run.findall(t))
-        new = list(dict.fromkeys(x for r in runs for x in r if x not in kept))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            kept.update(zip(part, self._ids(part), strict=True))
-        get = kept.__getitem__
+                runs.append(self._words(t))
+        new = set().union(*runs).difference(self.kept)
+        if new:
+            self._learn(list(new))
+        get = self.kept.__getitem__
         out = [b"".join(map(get, r)) + self.end for r in runs]
-        for i, ids in zip(whole, self._ids(list(whole.values())) if whole else [], strict=True):
-            out[i] = ids + self.end
+        for i, ids in zip(whole, self._whole(list(whole.values())) if whole else [], strict=True):
+            out[i] = np.array(ids, dtype="<u4").tobytes() + self.end
         return out
 
 
