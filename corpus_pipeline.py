@@ -48,9 +48,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, text, n_pieces, pieces): sampled pieces of each document, and the text decoded from them."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = docs.select("doc_id", pieces.encode_pieces(F.col("doc_id"), F.col("text"), path).alias("pieces"))
-    return coded.select("doc_id", pieces.decode_pieces(F.col("pieces"), path).alias("text"), (F.length("pieces") / 4).cast("long").alias("n_pieces"), "pieces")
+    coded = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "text", (F.length("pieces") / 4).cast("long").alias("n_pieces"), "pieces")
 
 
 STAGES = [

@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram import _mixed
@@ -31,12 +32,12 @@ MARK = "▁"
 THETA = 1.0
 SEED = 20_240_601
 #: Units that a worker keeps, from one task to the next.
-CACHE = 400_000
+CACHE = 200_000
 _UNIT = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\s")
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model by text, with their weights."""
+    """Pieces of a SentencePiece model with their weights, and the tree of their characters as sorted arrays."""
 
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
@@ -45,7 +46,6 @@ class Vocabulary:
         self.size = sp.get_piece_size()
         self.byte_id = np.zeros(256, np.int64)
         self.raw: list[bytes] = []
-        self.weight: dict[str, tuple] = {}  # (id, weight), or () where only longer pieces begin so
         plain = []
         for i in range(self.size):
             p = sp.id_to_piece(i)
@@ -56,23 +56,46 @@ class Vocabulary:
                 self.raw.append(b"")
             else:
                 self.raw.append(p.replace(MARK, " ").encode())
-                if MARK not in p[1:] or p.strip(MARK) == "":
+                if MARK not in p[1:]:
                     plain.append((i, p, sp.get_score(i)))
         # Scores of a merge vocabulary are ranks; weights fall with the rank as frequencies of words do.
         order = sorted(plain, key=lambda x: (-x[2], x[0]))
-        weights = np.array([1.0 / (2.7 + r) for r in range(len(order))]) ** theta
-        weights /= weights.sum()
-        scale = 1.0 / float(np.median(weights)) ** 0.5  # keeps sums over long units near one; the same for each way
-        self.longest = max((len(p) for _, p, _ in order), default=1)
-        self.scale = scale
-        for (i, p, _), w in zip(order, weights.tolist(), strict=True):
-            if p != MARK * len(p) or len(p) == 1:
-                self.weight[p.replace(MARK, " ")] = (i, w * scale ** len(p))
-        # Beginnings of pieces, so that a search stops where no piece goes on.
-        for piece in list(self.weight):
-            for k in range(1, len(piece)):
-                self.weight.setdefault(piece[:k], ())
+        weights = (1.0 / (2.7 + np.arange(len(order)))) ** theta
+        scale = 1.0 / float(np.median(weights)) ** 0.5 if len(order) else 1.0  # keeps sums over long units near one; the same for each way
+        self.weight = {p.replace(MARK, " "): (i, w * scale ** len(p)) for (i, p, _), w in zip(order, weights.tolist(), strict=True)}
         self.fallback = float(weights[-1]) * 1e-3 * scale if len(order) else 1.0
+        self.longest = max(map(len, self.weight), default=1)
+        node: dict[str, int] = {"": 0}
+        for p in self.weight:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        steps = sorted((node[p[:-1]] << 21 | ord(p[-1]), n) for p, n in node.items() if p)
+        self.step_key, self.step_to = np.array([k for k, _ in steps], np.int64), np.array([n for _, n in steps], np.int32)
+        # Steps over the characters below ``near`` by a table with a row for each node that goes on, and one for the rest.
+        self.near = 0x100
+        close = (self.step_key & 0x1FFFFF) < self.near
+        inner = np.unique(self.step_key[close] >> 21)
+        self.row = np.full(len(node), len(inner), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.table = np.full((len(inner) + 1, self.near), -1, np.int32)
+        self.table[self.row[self.step_key[close] >> 21], self.step_key[close] & 0x1FFFFF] = self.step_to[close]
+        self.node_id, self.node_weight = np.full(len(node), -1, np.int32), np.zeros(len(node))
+        for p, (i, w) in self.weight.items():
+            self.node_id[node[p]], self.node_weight[node[p]] = i, w
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Node reached from each node by each character, -1 where no piece goes on."""
+        far = np.flatnonzero(char >= self.near)
+        if not len(far):
+            return self.table[self.row[node], char]
+        out = self.table[self.row[node], np.minimum(char, self.near - 1)]
+        out[far] = self._search(node[far], char[far])
+        return out
+
+    def _search(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        key = node.astype(np.int64) << 21 | char
+        at = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+        return np.where(self.step_key[at] == key, self.step_to[at], -1)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
@@ -84,94 +107,124 @@ class Sampler:
         self._clear()
 
     def _clear(self) -> None:
-        self.unit: dict[str, int] = {}  # number of the unit's last state
+        self.unit: dict[str, int] = {}  # the unit's last state
         self.states = 0
-        self.draw = np.empty(1 << 20)  # state + cumulative share of each edge
-        self.prev = np.empty(1 << 20, np.int32)  # state the edge comes from, -1 for the unit's start
-        self.piece = np.empty(1 << 20, np.int32)  # vocabulary id, or size + code point for a byte fallback
+        self.begin = np.empty(1 << 18, np.int32)  # first edge of each state; its likeliest comes first
+        self.draw = np.empty(1 << 18)  # cumulative share of each edge among its state's
+        self.prev = np.empty(1 << 18, np.int32)  # state the edge comes from, -1 for the unit's start
+        self.piece = np.empty(1 << 18, np.int32)  # vocabulary id, or size + code point for a byte fallback
         self.edges = 0
 
     def _add(self, units: list[str]) -> None:
-        """Forward filtering of new units; a unit's states follow each other, one for each of its places."""
-        weight, longest, size, fallback = self.vocabulary.weight.get, self.vocabulary.longest, self.vocabulary.size, self.vocabulary.fallback
-        draw: list[float] = []
-        prev: list[int] = []
-        piece: list[int] = []
-        state = self.states
-        for u in units:
-            n = len(u)
-            into: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-            ways = [0.0] * n
-            for i in range(n):
-                here = ways[i - 1] if i else 1.0
-                if not 1e-200 < here < 1e200:  # a very long unit: sums of all later ways are relative to this place
-                    if here == 0.0:
-                        continue
-                    factor = 1.0 / here
-                    for k in range(max(0, i - longest), n):
-                        ways[k] *= factor
-                        into[k] = [(a, b, c * factor) for a, b, c in into[k]]
-                    here = 1.0
-                single = weight(u[i])
-                least = n if single is None else i + 1
-                if not single:
-                    w = here * fallback
-                    into[i].append((i - 1, size + ord(u[i]), w))
-                    ways[i] += w
-                else:
-                    w = here * single[1]
-                    into[i].append((i - 1, single[0], w))
-                    ways[i] += w
-                for j in range(least + 1, min(n, i + longest) + 1):
-                    found = weight(u[i:j])
-                    if found is None:
-                        break
-                    if found:
-                        w = here * found[1]
-                        into[j - 1].append((i - 1, found[0], w))
-                        ways[j - 1] += w
-            for k in range(n):
-                total, run = ways[k], 0.0
-                some = into[k]
-                for q, (p, e, w) in enumerate(some):
-                    run += w
-                    draw.append(state + k + (run / total if q < len(some) - 1 else 1.0))
-                    prev.append(state + p if p >= 0 else -1)
-                    piece.append(e)
-            state += n
-            self.unit[u] = state - 1
-        self.states = state
-        end = self.edges + len(draw)
+        """Lattices and forward sums of new units, all units a place at a time; a unit's states follow each other."""
+        v = self.vocabulary
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(chars))  # characters from here to the unit's end
+        place = np.repeat(lengths, lengths) - left
+        froms, tos, ids, weights = [], [], [], []
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int32)
+        for d in range(v.longest):
+            node = v.step(node, chars[at + d])
+            ok = node >= 0
+            at, node = at[ok], node[ok]
+            whole = v.node_id[node] >= 0
+            froms.append(at[whole])
+            tos.append(at[whole] + d)
+            ids.append(v.node_id[node[whole]])
+            weights.append(v.node_weight[node[whole]])
+            more = left[at] > d + 1
+            at, node = at[more], node[more]
+            if not len(at):
+                break
+        bare = np.ones(len(chars), bool)
+        bare[froms[0]] = False
+        bare = np.flatnonzero(bare)
+        froms.append(bare)
+        tos.append(bare)
+        ids.append((v.size + chars[bare]).astype(np.int32))
+        weights.append(np.full(len(bare), v.fallback))
+        first, last, piece, weight = map(np.concatenate, (froms, tos, ids, weights))
+        order = np.argsort(last, kind="stable")
+        first, last, piece, weight = first[order], last[order], piece[order], weight[order]
+        # Forward filtering: ways to each place, relative to the unit's scale so far where it would overflow.
+        ways = np.empty(len(chars))
+        part = np.empty(len(first))
+        by_place = np.argsort(place[last], kind="stable")
+        cuts = np.searchsorted(place[last][by_place], np.arange(int(lengths.max()) + 1))
+        scale = np.zeros(len(chars))  # natural logarithm of what ways were divided by
+        for p in range(len(cuts) - 1):
+            e = by_place[cuts[p] : cuts[p + 1]]
+            if not len(e):
+                continue
+            start, end = first[e], last[e]
+            heads = np.concatenate([[True], end[1:] != end[:-1]])
+            if p:
+                came = np.maximum(start - 1, 0)
+                inner = place[start] > 0
+                base = np.where(inner, ways[came], 1.0)
+                ref = scale[end - 1]  # the place before; all earlier ones of a unit are within a few orders of it
+                base = base * np.exp(np.clip(np.where(inner, scale[came], 0.0) - ref, -700, 700))
+            else:
+                base, ref = np.ones(len(e)), np.zeros(len(e))
+            c = base * weight[e]
+            total = np.add.reduceat(c, np.flatnonzero(heads))
+            where = end[heads]
+            grown = ref[heads]
+            far = (total < 1e-100) | (total > 1e100)
+            ways[where] = np.where(far, 1.0, total)
+            scale[where] = grown + np.where(far, np.log(np.maximum(total, 1e-300)), 0.0)
+            part[e] = c / np.repeat(total, np.diff(np.append(np.flatnonzero(heads), len(e))))
+        heads = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+        sizes = np.diff(np.append(heads, len(last)))
+        top = np.flatnonzero(part == np.repeat(np.maximum.reduceat(part, heads), sizes))
+        top = top[np.concatenate([[True], last[top[1:]] != last[top[:-1]]])]
+        for x in (first, piece, part):  # the likeliest edge of each state to its front
+            x[heads], x[top] = x[top], x[heads]
+        run = np.cumsum(part)
+        run -= np.repeat(run[heads] - part[heads], sizes)
+        run[np.append(heads[1:], len(run)) - 1] = 2.0  # the last of a state takes what is left
+        end, states = self.edges + len(run), self.states + len(chars)
         while end > len(self.draw):
             self.draw, self.prev, self.piece = (np.concatenate([x, np.empty_like(x)]) for x in (self.draw, self.prev, self.piece))
-        self.draw[self.edges : end], self.prev[self.edges : end], self.piece[self.edges : end] = draw, prev, piece
+        while states > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.empty_like(self.begin)])
+        self.begin[self.states : states] = self.edges + heads
+        self.draw[self.edges : end] = run
+        self.prev[self.edges : end] = np.where(place[first] > 0, self.states + first - 1, -1)
+        self.piece[self.edges : end] = piece
+        self.unit.update(zip(units, (self.states + ends - 1).tolist(), strict=True))
+        self.states += len(chars)
         self.edges = end
 
     def encode(self, keys: list[int], texts: list[str | None]) -> list[np.ndarray]:
         """Sampled pieces of each text, drawn for its key."""
-        if len(self.unit) > CACHE:
+        if len(self.unit) > CACHE or self.edges > 20 * CACHE:
             self._clear()
         cut = [_UNIT.findall(t or "") for t in texts]
-        new = list(dict.fromkeys(u for units in cut for u in units if u not in self.unit))
+        new = list(set().union(*cut).difference(self.unit))
         if new:
             self._add(new)
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         total = int(counts.sum())
         if not total:
             return [np.zeros(0, np.int32) for _ in texts]
-        get = self.unit.__getitem__
-        state = np.fromiter((get(u) for units in cut for u in units), np.int64, total)
+        state = np.fromiter(map(self.unit.__getitem__, chain.from_iterable(cut)), np.int64, total)
         row = np.repeat(np.arange(len(cut)), counts)
         within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         base = _mixed(np.array(keys, np.int64).astype(np.uint64) + self.seed)
         word = _mixed(base[row] + within.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        draw, prev, piece = self.draw[: self.edges], self.prev[: self.edges], self.piece[: self.edges]
+        begin, draw, prev, piece = self.begin, self.draw, self.prev, self.piece
         live, steps, drawn = np.arange(total), np.zeros(total, np.int64), []
         step = 0
         while len(live):
             u = (_mixed(word[live] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(draw, state[live] + u, side="right")
-            # A draw next to the end of a state's share may round into the next state.
+            edge = begin[state[live]]
+            over = np.flatnonzero(draw[edge] <= u)
+            while len(over):
+                edge[over] += 1
+                over = over[draw[edge[over]] <= u[over]]
             drawn.append((live, piece[edge]))
             steps[live] += 1
             back = prev[edge]
@@ -183,21 +236,28 @@ class Sampler:
         out = np.empty(int(ends[-1]), np.int64)
         for k, (who, what) in enumerate(drawn):
             out[ends[who] - 1 - k] = what
-        cuts = ends[np.cumsum(counts) - 1]
-        cuts[counts == 0] = 0
-        cuts = np.maximum.accumulate(cuts)
-        parts = np.split(out, cuts[:-1])
-        size = self.vocabulary.size
-        return [self._bytes(p) if len(p) and p.max() >= size else p.astype(np.int32) for p in parts]
+        sizes = np.add.reduceat(steps, np.minimum(np.cumsum(counts) - counts, total - 1)) * (counts > 0)
+        out, sizes = self._bytes(out, sizes)
+        return np.split(out.astype(np.int32), np.cumsum(sizes)[:-1])
 
-    def _bytes(self, ids: np.ndarray) -> np.ndarray:
-        size, out = self.vocabulary.size, []
-        for i in ids.tolist():
-            if i < size:
-                out.append(i)
-            else:
-                out += self.vocabulary.byte_id[list(chr(i - size).encode("utf-8", "surrogatepass"))].tolist()
-        return np.array(out, np.int32)
+    def _bytes(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte fallbacks spelled out; sizes of the texts after that."""
+        size = self.vocabulary.size
+        bare = np.flatnonzero(ids >= size)
+        if not len(bare):
+            return ids, sizes
+        points, which = np.unique(ids[bare] - size, return_inverse=True)
+        spelled = [self.vocabulary.byte_id[list(chr(int(c)).encode("utf-8", "surrogatepass"))] for c in points]
+        wide = np.ones(len(ids), np.int64)
+        wide[bare] = np.array([len(b) for b in spelled])[which]
+        ends = np.cumsum(wide)
+        out = np.repeat(ids, wide)
+        for k in range(4):
+            some = wide[bare] > k
+            table = np.array([b[k] if k < len(b) else 0 for b in spelled], np.int64)
+            out[(ends - wide)[bare[some]] + k] = table[which[some]]
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        return out, np.diff(np.concatenate([[0], ends])[cuts])
 
 
 _samplers: dict = {}
@@ -210,24 +270,29 @@ def _sampler(path: str, theta: float, seed: int) -> Sampler:
     return _samplers[path, theta, seed]
 
 
-def encode_pieces(key: Column, text: Column, path: str, theta: float = THETA, seed: int = SEED) -> Column:
-    """Sampled piece ids of each text, as little-endian 32-bit integers in a binary."""
+def encode_documents(docs: DataFrame, path: str, theta: float = THETA, seed: int = SEED) -> DataFrame:
+    """(doc_id, pieces, text, lossless) of every row of ``docs`` (doc_id, text).
+
+    ``pieces`` holds the sampled ids as little-endian 32-bit integers, ``text`` what they decode to, and ``lossless``
+    whether that is the row's text, null counted as empty.
+    """
 
-    @F.pandas_udf("binary")
-    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = _sampler(path, theta, seed)
-        for keys, texts in parts:
-            keys, out = keys.fillna(0).astype("int64"), []
-            for at in range(0, len(texts), 200):
-                found = sampler.encode(keys.iloc[at : at + 200].tolist(), texts.iloc[at : at + 200].tolist())
-                out += [p.astype("<i4").tobytes() for p in found]
-            yield pd.Series(out, dtype=object)
+        for frame in parts:
+            for at in range(0, len(frame), 100):
+                some = frame.iloc[at : at + 100]
+                texts = some["text"].tolist()
+                found = sampler.encode(some["doc_id"].fillna(0).astype("int64").tolist(), texts)
+                back = [sampler.vocabulary.decode(p) for p in found]
+                same = [a == (b or "") for a, b in zip(back, texts, strict=True)]
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "pieces": [p.astype("<i4").tobytes() for p in found], "text": back, "lossless": same})
 
-    return encode(F.coalesce(key, F.lit(0)), text)
+    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, pieces binary, text string, lossless boolean")
 
 
 def decode_pieces(pieces: Column, path: str) -> Column:
-    """The texts that ``encode_pieces`` was given; null for null."""
+    """The texts whose pieces these are; null for null."""
 
     @F.pandas_udf("string")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -39,11 +39,8 @@ PIECE_VOCABULARY = "piece_bpe_32k.model"
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path(PIECE_VOCABULARY)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("pieces", pieces.encode_pieces(F.col("doc_id"), F.col("text"), path))
-    back = coded.withColumn("decoded", pieces.decode_pieces(F.col("pieces"), path))
-    return back.select("doc_id", (F.length("pieces") / 4).cast("long").alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
+    return coded.select("doc_id", (F.length("pieces") / 4).cast("long").alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), "lossless")
 
 
 @_query
