@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from .ngram import _mixed
 
 #: Slots of the n-gram table, sizes of the n-grams in bytes, cost of a change of language in nats.
 BUCKETS, SIZES, SWITCH = 1 << 16, (1, 2, 3, 4, 5), 18.0
-CACHE = 500_000
+CACHE = 400_000
 #: First and last code points of scripts, by the Unicode blocks; other letters are "other".
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -135,29 +136,81 @@ def fit_languages(counts: DataFrame) -> LanguageModel:
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best path of languages over the words of one text."""
+    return viterbi_all(scores, np.array([len(scores)]), switch)
+
+
+def viterbi_all(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH, few: int = 24) -> np.ndarray:
+    """Best paths of several texts, whose words follow each other in ``scores``: a word of every text at a time, and text by
+    text once few are left."""
     n, k = scores.shape
-    back = np.empty((n, k), np.int64)
-    v = scores[0].copy()
-    for t in range(1, n):
-        top = int(np.argmax(v))
-        stay = v >= v[top] - switch
-        back[t] = np.where(stay, np.arange(k), top)
-        v = np.where(stay, v, v[top] - switch) + scores[t]
-    path = np.empty(n, np.int64)
-    path[-1] = int(np.argmax(v))
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    order = np.argsort(-lengths, kind="stable")
+    sizes = lengths[order]
+    starts = (np.cumsum(lengths) - lengths)[order]
+    back = np.empty((n, k), np.int8)
+    path = np.empty(n, np.int8)
+    own = np.arange(k, dtype=np.int8)
+    v = np.zeros((len(sizes), k))
+    deep = int(sizes[few]) if len(sizes) > few else 0  # words that all but a few texts have
+    live = np.searchsorted(-sizes, -np.arange(1, deep + 1), side="right")
+    for t in range(deep):
+        m = live[t]
+        at, now = starts[:m] + t, v[:m]
+        if t:
+            top = now.argmax(axis=1)
+            floor = now[np.arange(m), top] - switch
+            stay = now >= floor[:, None]
+            back[at] = np.where(stay, own, top[:, None])
+            now = np.where(stay, now, floor[:, None])
+        v[:m] = now + scores[at]
+    for d in range(len(sizes)):
+        if sizes[d] <= deep:
+            break
+        run = v[d].tolist()
+        marks = []
+        first = starts[d]
+        for t, row in enumerate(scores[first + deep : first + sizes[d]].tolist(), deep):
+            best = max(run)
+            floor = best - switch
+            if t:
+                top = run.index(best)
+                marks.append([i if x >= floor else top for i, x in enumerate(run)])
+                run = [(x if x >= floor else floor) + y for x, y in zip(run, row, strict=True)]
+            else:
+                run = row
+        begin = first + max(deep, 1)
+        if marks:
+            back[begin : first + sizes[d]] = marks
+        v[d] = run
+    now = v.argmax(axis=1).astype(np.int8)
+    for d in range(len(sizes)):
+        if sizes[d] <= deep:
+            break
+        cur, first = int(now[d]), int(starts[d])
+        steps = back[first + deep : first + sizes[d]].tolist()
+        out = []
+        for t in range(len(steps) - 1, -1, -1):
+            out.append(cur)
+            if t + deep:
+                cur = steps[t][cur]
+        path[first + deep : first + sizes[d]] = out[::-1]
+        now[d] = cur
+    for t in range(deep - 1, -1, -1):
+        m = live[t]
+        at = starts[:m] + t
+        path[at] = now[:m]
+        if t:
+            now[:m] = back[at, now[:m]]
     return path
 
 
 class Labeller:
     def __init__(self, model: LanguageModel, switch: float = SWITCH):
-        self.model, self.switch, self.kept, self.table, self.n = model, switch, {}, np.empty((1024, len(model.languages))), 0
+        self.model, self.switch, self.kept, self.table, self.n = model, switch, {}, np.empty((1024, len(model.languages)), np.float32), 0
 
     def _numbers(self, words: list[list[str]]) -> np.ndarray:
         if self.n > CACHE:
             self.kept, self.n = {}, 0
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.kept))
+        new = list(set().union(*words).difference(self.kept))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             while self.n + len(part) > len(self.table):
@@ -165,36 +218,41 @@ class Labeller:
             self.table[self.n : self.n + len(part)] = self.model.scores(part)
             self.kept.update(zip(part, range(self.n, self.n + len(part)), strict=True))
             self.n += len(part)
-        get = self.kept.__getitem__
-        return np.fromiter((get(w) for ws in words for w in ws), np.int64)
+        return np.fromiter(map(self.kept.__getitem__, chain.from_iterable(words)), np.int64)
 
     def paths(self, words: list[list[str]]) -> list[np.ndarray]:
         """Number of the language of each word of each text; -1 where no language has its script."""
         k = len(self.model.languages)
-        if not k:
-            return [np.full(len(w), -1) for w in words]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        if not k or not lengths.sum():
+            return [np.full(n, -1) for n in lengths]
         numbers = self._numbers(words)
-        every = self.table[numbers] if len(numbers) else np.zeros((0, k))
-        lost = np.isneginf(every).all(axis=1)
-        every = np.where(np.isneginf(every), -60.0, every)
+        every = self.table[numbers]
+        bare = np.isneginf(every)
+        lost = bare.all(axis=1)
+        every[bare] = -60.0
         every[lost] = 0
-        ends = np.cumsum([len(w) for w in words])
-        out = []
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            s = every[a:b]
+        ends = np.cumsum(lengths)
+        path = np.empty(len(every), np.int64)
+        hard = []
+        for d, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
             if a == b:
-                out.append(np.zeros(0, np.int64))
                 continue
-            best = int(np.argmax(s.sum(axis=0)))
-            lead = np.cumsum(s - s[:, best : best + 1], axis=0)
-            low = np.minimum.accumulate(np.vstack([np.zeros((1, k)), lead[:-1]]), axis=0)
+            s = every[a:b]
+            best = int(np.argmax(s.sum(axis=0, dtype=np.float64)))
+            lead = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
+            low = np.minimum.accumulate(lead, axis=0)
             # A path may switch in at its start or out at its end for one penalty, and for two in between.
-            if (lead - low).max() < self.switch:
-                path = np.full(b - a, best)
+            if max(float((lead[1:] - low[:-1]).max()) if b - a > 1 else 0.0, float(lead.max())) < self.switch:
+                path[a:b] = best
             else:
-                path = viterbi(s, self.switch)
-            out.append(np.where(lost[a:b], -1, path))
-        return out
+                hard.append(d)
+        if hard:
+            hard = np.array(hard)
+            rows = np.concatenate([np.arange(ends[d] - lengths[d], ends[d]) for d in hard])
+            path[rows] = viterbi_all(every[rows], lengths[hard], self.switch)
+        path[lost] = -1
+        return np.split(path, ends[:-1])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, share of the letters in it, and spans (start, end, language) in code points of each text."""
@@ -247,8 +305,8 @@ def predict_language(text: Column, model: LanguageModel, spark, switch: float =
         labeller = Labeller(sent.value, switch)
         for s in parts:
             rows = []
-            for at in range(0, len(s), 500):
-                rows += labeller.predict(s.iloc[at : at + 500].tolist())
+            for at in range(0, len(s), 2000):
+                rows += labeller.predict(s.iloc[at : at + 2000].tolist())
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "n_spans"])
 
     return label(text)

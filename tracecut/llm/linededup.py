@@ -18,7 +18,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,21 +106,27 @@ def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK) ->
     rows = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
     owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
     shared = scratch.keep(rows.join(scratch.keep(owners), "h"))
-    lists = scratch.keep(shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("lines")))  # one document's lines
+    lists = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("l"))  # one document's lines
+    lists = scratch.keep(lists.select("doc_id", F.col("l.pos").alias("pos"), F.col("l.h").alias("h"), F.col("l.n").alias("n")))
     pairs = shared.where("owner < doc_id").select("doc_id", "owner").distinct()
-    both = pairs.join(lists, "doc_id").join(lists.select(F.col("doc_id").alias("owner"), F.col("lines").alias("first")), "owner")
-
-    def align(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts:
-            out = []
-            for doc, first, own in zip(frame["doc_id"], frame["first"], frame["lines"], strict=True):
-                later = [(r["pos"], r["h"], r["n"]) for r in own]
-                gone = deleted_lines([(r["pos"], r["h"]) for r in first], later, least)
-                if gone:
-                    out.append((doc, gone))
-            yield pd.DataFrame(out, columns=["doc_id", "gone"])
-
-    found = both.select("doc_id", "first", "lines").mapInPandas(align, "doc_id long, gone array<int>")
+    first = lists.select(F.col("doc_id").alias("owner"), F.col("pos").alias("pos_a"), F.col("h").alias("h_a"))
+    both = pairs.join(lists, "doc_id").join(first, "owner").select("doc_id", "pos_a", "h_a", "pos", "h", "n")
+
+    def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            docs_in = batch.column(0).to_pylist()
+            cols = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in map(batch.column, range(1, 6))]
+            ids: list[int] = []
+            gone: list[list[int]] = []
+            for i, doc in enumerate(docs_in):
+                pos_a, h_a, pos, h, n = (values[offsets[i] : offsets[i + 1]].tolist() for offsets, values in cols)
+                found = deleted_lines(list(zip(pos_a, h_a, strict=True)), list(zip(pos, h, n, strict=True)), least)
+                if found:
+                    ids.append(doc)
+                    gone.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+
+    found = both.mapInArrow(align, "doc_id long, gone array<int>")
     places = found.select("doc_id", F.explode("gone").alias("pos")).distinct()
     return places.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))  # one document's places
 
