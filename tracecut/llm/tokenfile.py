@@ -31,9 +31,9 @@ from .common import Scratch
 #: The format: magic, bits of the frequency scale, tokens of a block, lanes of a block.
 MAGIC, SCALE, BLOCK, LANES = b"TCRANS1\n", 20, 65_536, 32
 _LOW = np.uint64(1 << 31)
-SHARD_CHARS, SHARD_TOKENS = 12_000_000, 4_000_000
+SHARD_TOKENS = 4_000_000
 #: Runs that a worker keeps, from one task to the next.
-CACHE = 800_000
+CACHE = 1_500_000
 _encoders: dict = {}
 
 
@@ -167,28 +167,54 @@ def unpack_shard(shard: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths.astype(np.int64), decode_tokens(shard[24 + size :])
 
 
-class Encoder:
+def _byte_signs() -> dict[int, str]:
+    """The signs by which byte-level vocabularies write bytes: printable Latin-1 by itself, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
     """Whole texts to ids. The vocabulary's tokenizer never joins across white space, so words between white space are
-    encoded once each and kept up to a bound; texts with a special token's mark go in whole.
+    encoded once each and kept, word to ids, up to a bound; texts with a special token's mark go in whole.
 
-    New words are encoded many at a time, as one text with a mark between them that is a token of its own. A word of
-    ASCII letters has the ids of its lower-case form, and a comma or full stop after one adds its own.
+    A word of letters below U+0250, in lower case, is one unit of the tokenizer's rule, so its model encodes it alone; marks
+    after such a word are units of their own. All other words go through the whole tokenizer.
     """
 
-    MARK = "\x01"
-    _between = f" {MARK} "
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
     def __init__(self, path: str, end_id: int):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.kept = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), {}
+        self.tokenizer, self.end, self.runs = Tokenizer.from_file(path), np.array([end_id], dtype="<u4").tobytes(), {"": b""}
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.mark,) = self._whole([self.MARK])[0]
-        self.after = {c: np.array(ids, dtype="<u4").tobytes() for c, ids in zip(",.", self._whole([",", "."]), strict=True)}
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(self.MARKS)
+        low = stem.lower()
+        if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+            ids = self.get(low)
+            if ids is None:
+                unit = low if low.isascii() else low.encode().decode("latin-1").translate(self.signs)
+                found = [t.id for t in self.model.tokenize(unit)]
+                ids = self[low] = struct.pack(f"<{len(found)}I", *found)
+            marks = word[len(stem) :]
+            if marks:
+                if marks not in self.runs:
+                    self.runs[marks] = self.whole(marks)
+                ids += self.runs[marks]
+        else:
+            ids = self.whole(word)
+        if word != low:
+            self[word] = ids
+        return ids
 
     def _words(self, text: str) -> list[str]:
         """Split at white space; of what Python takes for it, the tokenizer keeps four control characters as signs."""
@@ -196,47 +222,18 @@ class Encoder:
             return re.findall("[^ \t\n\r]+", text)
         return text.split()
 
-    def _learn(self, words: list[str]) -> None:
-        kept, forms = self.kept, {}
-        for w in words:
-            stem, last = w, w[-1]
-            if last in self.after and w[:-1].isascii() and w[-2:-1].isalpha():
-                stem = w[:-1]
-            else:
-                last = ""
-            forms[w] = (stem.lower() if stem.isascii() else stem, last)
-        new = [x for x in {stem for stem, _ in forms.values()} if x not in kept]
-        apart = [x for x in new if self.MARK in x]
-        kept.update(zip(apart, (np.array(ids, dtype="<u4").tobytes() for ids in self._whole(apart)), strict=True))
-        new = [x for x in new if self.MARK not in x] if apart else new
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
-            ids = np.array(self._whole([self._between.join(part)])[0], dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark) * 4
-            raw = ids.tobytes()
-            kept.update(zip(part, (raw[i:j] for i, j in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)), strict=True))
-        for w, (stem, last) in forms.items():
-            kept[w] = kept[stem] + self.after[last] if last else kept[stem]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian 32-bit integers."""
-        if len(self.kept) > CACHE:
-            self.kept = {}
-        runs, whole = [], {}
-        for i, t in enumerate(texts):
+        if len(self) > CACHE or len(self.runs) > CACHE:
+            self.clear()
+            self.runs = {"": b""}
+        get, out = self.__getitem__, []
+        for t in texts:
             t = t or ""
             if any(s in t for s in self.special):
-                whole[i] = t
-                runs.append([])
+                out.append(self.whole(t) + self.end)
             else:
-                runs.append(self._words(t))
-        new = set().union(*runs).difference(self.kept)
-        if new:
-            self._learn(list(new))
-        get = self.kept.__getitem__
-        out = [b"".join(map(get, r)) + self.end for r in runs]
-        for i, ids in zip(whole, self._whole(list(whole.values())) if whole else [], strict=True):
-            out[i] = np.array(ids, dtype="<u4").tobytes() + self.end
+                out.append(b"".join(map(get, self._words(t))) + self.end)
         return out
 
 
@@ -247,37 +244,61 @@ def encoder_of(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scratch, shard_chars: int = SHARD_CHARS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode ``docs`` in ascending doc_id order into a table of shards, and return it as read back."""
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange(max(1, -(-chars // shard_chars)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+def dealt_in_order(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` with ``part``: ascending ranges of doc_id, each in one partition, in the order of id and a hash of the text.
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    Bounds come from the ids alone. Each range's number is sent through an integer whose hash is the range's place, so the
+    ranges fill the partitions evenly without a pass over the texts to sample them.
+    """
+    spark = docs.sparkSession
+    wanted = [i / shards for i in range(1, shards)]
+    bounds = sorted(set((docs.agg(F.percentile_approx("doc_id", wanted, 100_000).alias("b")).first()["b"] if wanted else None) or []))
+    n = len(bounds) + 1
+    place = {}
+    for r in spark.range(64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).collect() if n > 1 else []:  # 64 integers a range
+        place.setdefault(r["p"], r["id"])
+    part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    rows = docs.select("doc_id", "text", part.alias("part"), F.xxhash64("text").alias("tie"))
+    if n > 1:
+        keys = F.array(*[F.lit(place.get(i, i)) for i in range(n)])
+        rows = rows.repartition(n, F.element_at(keys, F.col("part") + 1))
+    else:
+        rows = rows.repartition(1)
+    return rows.sortWithinPartitions("part", "doc_id", "tie", "text").drop("tie")
 
-        encoder, part, seq = encoder_of(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
-        ids, runs, n = [], [], 0
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, scratch: Scratch, shards: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encode ``docs`` in ascending doc_id order into a table of shards, and return it as read back.
+
+    There are two ranges of ids for each partition that ``docs`` is read in, unless ``shards`` says how many; a range of
+    more than ``shard_tokens`` tokens makes several shards.
+    """
+    ordered = dealt_in_order(docs, shards or min(10_000, max(1, 2 * docs.rdd.getNumPartitions())))
+
+    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of(tokenizer_path, end_id)
+        ids, runs, n, part, seq = [], [], 0, None, 0
 
         def shard() -> pd.DataFrame:
-            lengths = [len(r) // 4 for r in runs]
-            data = pack_shard(ids, lengths, np.frombuffer(b"".join(runs), dtype="<u4"))
+            data = pack_shard(ids, [len(r) // 4 for r in runs], np.frombuffer(b"".join(runs), dtype="<u4"))
             return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [n], "shard": [data]})
 
         for frame in parts:
             keys = [None if pd.isna(k) else int(k) for k in frame["doc_id"]]
+            ranges = frame["part"].tolist()
             for at in range(0, len(frame), 500):
-                for key, run in zip(keys[at : at + 500], encoder.encode(frame["text"].iloc[at : at + 500].tolist()), strict=True):
+                for key, run, mine in zip(keys[at : at + 500], encoder.encode(frame["text"].iloc[at : at + 500].tolist()), ranges[at : at + 500], strict=True):
+                    if ids and (mine != part or n >= shard_tokens):
+                        yield shard()
+                        ids, runs, n, seq = [], [], 0, seq + 1 if mine == part else 0
+                    part = mine
                     ids.append(key)
                     runs.append(run)
                     n += len(run) // 4
-                    if n >= shard_tokens:
-                        yield shard()
-                        ids, runs, n, seq = [], [], 0, seq + 1
         if ids:
             yield shard()
 
-    return scratch.keep(ordered.drop("tie").mapInPandas(encode, "part int, seq int, n_docs long, n_tokens long, shard binary"))
+    return scratch.keep(ordered.mapInPandas(encode, "part int, seq int, n_docs long, n_tokens long, shard binary"))
 
 
 def shard_starts(shards: DataFrame, group: int = 1024) -> DataFrame:

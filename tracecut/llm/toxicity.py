@@ -155,7 +155,11 @@ def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityMode
     """Train both dictionaries on two thirds of the sample and calibrate on the rest."""
     pool: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
     cut = [([pool.setdefault(w, w) for w in (t or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()], y) for t, y in sample]
-    part = [(w, y) for i, (w, y) in enumerate(cut) if i % 3]
+    turn, fit = Counter(), []  # of each class by turns: two to fit, one to calibrate
+    for _, y in sample:
+        fit.append(turn[y] % 3 > 0)
+        turn[y] += 1
+    part = [x for x, f in zip(cut, fit, strict=True) if f]
     toxic, ordinary = [w for w, y in part if y], [w for w, y in part if not y]
     seen, plain = Counter(), Counter()
     for group, count in ((toxic, seen), (ordinary, plain)):
@@ -172,7 +176,7 @@ def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityMode
     base = _dictionary(samples, min(ORDINARY_BYTES, max(1024, sum(map(len, texts)) // 4))) if samples else b""
     known = b"".join(spans)[-TOXIC_BYTES:]
     model = ToxicityModel(base, known, ((0.0, 0.5),), window)
-    held = [(t, y) for i, (t, y) in enumerate(sample) if i % 3 == 0]
+    held = [x for x, f in zip(sample, fit, strict=True) if not f]
     found = _Measure(model).evidence([t for t, _ in held])
     return ToxicityModel(base, known, _pooled(found, [y for _, y in held]), window)
 
