@@ -135,7 +135,8 @@ def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines`` and ``n_deleted``; other columns and all rows stay."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = scratch.keep(line_deletions(docs, scratch, least)).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    # A merge join at every size: deletions grow with the table, so they are not to be broadcast.
+    joined = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__id"), "left").drop("__id")
     lines = lines_of(F.col("text"))
     kept = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
     clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
