@@ -32,7 +32,7 @@ MARK = "▁"
 THETA = 1.0
 SEED = 20_240_601
 #: Units that a worker keeps, from one task to the next.
-CACHE = 200_000
+CACHE = 80_000
 _UNIT = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\s")
 
 
