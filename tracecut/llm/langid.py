@@ -230,7 +230,7 @@ class Labeller:
         every = self.table[numbers]
         bare = np.isneginf(every)
         lost = bare.all(axis=1)
-        every[bare] = -60.0
+        every[bare] = -1e4  # below any word that the language could have
         every[lost] = 0
         ends = np.cumsum(lengths)
         path = np.empty(len(every), np.int64)
