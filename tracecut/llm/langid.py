@@ -25,11 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .ngram import _mixed
 
 #: Slots of the n-gram table, sizes of the n-grams in bytes, cost of a change of language in nats.
 BUCKETS, SIZES, SWITCH = 1 << 16, (1, 2, 3, 4, 5), 18.0
-CACHE = 400_000
+CACHE = 150_000
 #: First and last code points of scripts, by the Unicode blocks; other letters are "other".
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -305,9 +306,11 @@ def predict_language(text: Column, model: LanguageModel, spark, switch: float =
         labeller = Labeller(sent.value, switch)
         for s in parts:
             rows = []
-            for at in range(0, len(s), 2000):
-                rows += labeller.predict(s.iloc[at : at + 2000].tolist())
+            for at in range(0, len(s), 1000):
+                rows += labeller.predict(s.iloc[at : at + 1000].tolist())
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "n_spans"])
+        del labeller
+        give_back()
 
     return label(text)
 

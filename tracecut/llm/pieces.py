@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .ngram import _mixed
 
 MARK = "▁"
@@ -287,6 +288,7 @@ def encode_documents(docs: DataFrame, path: str, theta: float = THETA, seed: int
                 back = [sampler.vocabulary.decode(p) for p in found]
                 same = [a == (b or "") for a, b in zip(back, texts, strict=True)]
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "pieces": [p.astype("<i4").tobytes() for p in found], "text": back, "lossless": same})
+        give_back()
 
     return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, pieces binary, text string, lossless boolean")
 
