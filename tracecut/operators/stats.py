@@ -96,12 +96,12 @@ def cliffs_delta(rows: DataFrame, keys: list[str], group: str, first, second, va
 
 
 def kruskal(rows: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """(keys, k, h, p): Kruskal-Wallis with tie correction."""
+    """(keys, n_groups, h, p): Kruskal-Wallis with tie correction."""
     r = _pooled_ranks(rows, keys, group, value).join(_ties(rows, keys, value), keys)
     n = F.col("total")
-    s = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"), F.first("total").alias("total"), F.first("ties").alias("ties"))
+    s = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s"), F.first("total").alias("total"), F.first("ties").alias("ties"))
     h = (12 * F.col("s") / (n * (n + 1)) - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (F.pow(n, 3.0) - n), F.lit(0.0))
-    return s.select(*keys, "k", h.alias("h")).withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1))
+    return s.select(*keys, "n_groups", h.alias("h")).withColumn("p", chi2_tail(F.col("h"), F.col("n_groups") - 1))
 
 
 def cohens_d(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -162,10 +162,10 @@ def cliffs_delta(spark, d):
 
 @query("kruskal_h", REC + """, rk AS (SELECT corpus, quantity, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2 AS rk, CAST(count(*) OVER () AS DOUBLE) AS n FROM rec),
 g AS (SELECT corpus, count(*) AS m, sum(rk) AS s, any_value(n) AS n FROM rk GROUP BY ALL), t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM rec GROUP BY quantity))
-SELECT count(*) AS k, round((12 * sum(s * s / m) / (any_value(n) * (any_value(n) + 1)) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (pow(any_value(n), 3) - any_value(n))), 4) AS h FROM g, t""")
+SELECT count(*) AS n_groups, round((12 * sum(s * s / m) / (any_value(n) * (any_value(n) + 1)) - 3 * (any_value(n) + 1)) / (1 - any_value(ties) / (pow(any_value(n), 3) - any_value(n))), 4) AS h FROM g, t""")
 def kruskal_h(spark, d):
     rec = lenses.paired_records(spark, d).withColumn("all", F.lit(1))
-    return stats.kruskal(rec, ["all"], "corpus", "quantity").select("k", F.round("h", 4).alias("h"))
+    return stats.kruskal(rec, ["all"], "corpus", "quantity").select("n_groups", F.round("h", 4).alias("h"))
 
 
 @query("cohens_d", REC + " SELECT corpus, round((avg(size_a) - avg(size_b)) / sqrt((var_samp(size_a) + var_samp(size_b)) / 2), 6) AS d FROM rec GROUP BY ALL")

@@ -39,8 +39,9 @@ def smallest_per_corpus(circuits: DataFrame, most: int, max_qubits: int, max_ops
 
 def require_total(circuits: DataFrame, least: int) -> DataFrame:
     """The same rows; the query fails where there are fewer than ``least``."""
-    n = circuits.agg(F.count(F.lit(1)).alias("__n")).select(F.assert_true(F.col("__n") >= least, F.lit(f"fewer than {least} circuits")).alias("__ok"))
-    return circuits.join(F.broadcast(n)).drop("__ok")
+    enough = F.when(F.col("__n") >= least, True).otherwise(F.raise_error(F.lit(f"fewer than {least} circuits")).cast("boolean"))
+    n = circuits.agg(F.count(F.lit(1)).alias("__n")).select(enough.alias("__ok"))
+    return circuits.join(F.broadcast(n), F.col("__ok")).drop("__ok")  # one row
 
 
 def shortest_paths_first(programs: DataFrame, limit: int) -> DataFrame:

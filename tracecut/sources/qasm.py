@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -379,8 +380,6 @@ def lenient_ops(programs: DataFrame) -> DataFrame:
 
 def with_params(ops: DataFrame) -> DataFrame:
     """``param_text`` evaluated to ``params``; what cannot be read is 0."""
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def values(text: pd.Series) -> pd.Series:
         return text.map(lambda s: [evaluate_or_zero(p) for p in split_args(s or "")])
