@@ -18,16 +18,19 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     before = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # What is joined is written first: a join then shuffles both sides itself, and a node with very many neighbours can
+        # be split among tasks.
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # Large star: every greater neighbour of u takes the least of u's neighbourhood.
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.keep(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: u and its lesser neighbours take the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = scratch.keep(small.distinct())
         mark = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(now)
+        for old in (now, least, large, low):
+            scratch.drop(old)
         now = new
         if mark == before:
             break
