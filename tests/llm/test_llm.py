@@ -353,6 +353,8 @@ def test_language_id_odd_and_empty(spark):
     model = langid.fit_languages(langid.language_counts(spark.createDataFrame([(1, "aa bb", "en")], "doc_id long, text string, lang string")))
     got = {x.doc_id: x.f for x in odd(spark).select("doc_id", langid.predict_language(F.col("text"), model, spark).alias("f")).collect()}
     assert got[0].lang_pred == got[1].lang_pred == "und" and got[4].lang_pred == "en"
+    signs = langid.Labeller(model).predict(["日本", "² ³ 12 --", "x²", "_"])
+    assert [x[0] for x in signs] == ["en", "und", "en", "und"]
     none = langid.fit_languages(langid.language_counts(empty(spark)))
     assert none.languages == () and {x.f.lang_pred for x in odd(spark).select(langid.predict_language(F.col("text"), none, spark).alias("f")).collect()} == {"und"}
     assert empty(spark).select(langid.predict_language(F.col("text"), model, spark)).count() == 0

@@ -9,7 +9,7 @@ Only texts that could hold a switch are decoded word by word: where no run of wo
 penalty, the best single language is the best path, which one pass of running sums over all texts of a batch shows.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0; a word whose script no learned language
-uses counts for no language; texts of any length are read whole; ties fall to the alphabetically first language; an empty
+uses counts for no language, and a text of such words only is the language with most learned words, with score 0; texts of any length are read whole; ties fall to the alphabetically first language; an empty
 model labels everything ``und``; repeated rows are labelled alike.
 """
 
@@ -60,6 +60,11 @@ def script_of(word: str) -> int:
     return _other
 
 
+def has_letter(word: str) -> bool:
+    """Signs such as superscript digits are parts of words, but no letters."""
+    return any(map(str.isalpha, word))
+
+
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all n-grams of the words, and the number of each word's n-grams."""
     raw = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
@@ -83,6 +88,7 @@ class LanguageModel:
     languages: tuple[str, ...]
     weights: np.ndarray  # languages x BUCKETS, log-probabilities
     allowed: np.ndarray  # scripts x languages
+    commonest: int = 0  # the language with most learned words
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language, -inf where its script is not the language's."""
@@ -91,8 +97,13 @@ class LanguageModel:
         for k in range(len(self.languages)):
             out[:, k] = np.bincount(owner, self.weights[k][slots], minlength=len(words))
         out[~self.allowed[np.fromiter(map(script_of, words), np.int64, len(words))]] = -np.inf
+        out[[i for i, w in enumerate(words) if not w.isalpha() and not has_letter(w)]] = -np.inf
         return out
 
+    def unread(self, words: list[str]) -> str:
+        """Language of a text none of whose words is of a learned script."""
+        return self.languages[self.commonest] if self.languages and any(map(has_letter, words)) else "und"
+
 
 def language_counts(docs: DataFrame) -> DataFrame:
     """(lang, kind, slot, n): n-gram counts of all texts by language, and its words by script. Summed in tasks first."""
@@ -132,7 +143,7 @@ def fit_languages(counts: DataFrame) -> LanguageModel:
             into[some["slot"].to_numpy(np.int64)] = some["n"].to_numpy()
     weights = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)) if len(languages) else table
     share = seen / np.maximum(1, seen.sum(axis=0, keepdims=True))
-    return LanguageModel(languages, weights, share >= 1e-4)
+    return LanguageModel(languages, weights, share >= 1e-4, int(np.argmax(seen.sum(axis=0))) if len(languages) else 0)
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -272,7 +283,7 @@ class Labeller:
                 else:
                     spans.append((a, b, name))
             if not size:
-                out.append(("und", 0.0, []))
+                out.append((self.model.unread([w for _, _, w in places]), 0.0, []))
                 continue
             top = max(sorted(size), key=size.__getitem__)
             out.append((self.model.languages[top], size[top] / sum(size.values()), spans))
@@ -285,7 +296,7 @@ class Labeller:
         for w, path in zip(words, self.paths(words), strict=True):
             kept = path[path >= 0]
             if not len(kept):
-                out.append(("und", 0.0, 0))
+                out.append((self.model.unread(w), 0.0, 0))
                 continue
             size = np.bincount(path[path >= 0], np.fromiter(map(len, w), np.int64, len(w))[path >= 0], len(self.model.languages))
             top = int(np.argmax(size))
