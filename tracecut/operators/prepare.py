@@ -102,3 +102,8 @@ def metadata(ops: DataFrame, bins: tuple[int, int] = (50, 500)) -> DataFrame:
         F.max(F.size("qubits")).alias("arity"),
     )
     return out.withColumn("size_bin", size_bin(F.col("n_gates"), bins))
+
+
+def without_measures(ops: DataFrame) -> DataFrame:
+    """Ops without measures and barriers, whatever follows them; for exact outcome distributions."""
+    return ops.where(~F.col("gate").isin("measure", "barrier"))
