@@ -159,6 +159,22 @@ def test_folds_are_reachability(spark, method, direction):
             assert got[i, t] == reach(e, seeds, direction == "forward"), (i, t)
 
 
+def shifted(log, by):
+    return [(g, [q + by for q in qs], [b + by for b in cs], ps, cond and ([b + by for b in cond[0]], cond[1]), n) for g, qs, cs, ps, cond, n in log]
+
+
+@pytest.mark.parametrize("method,direction", [("causal", "backward"), ("full", "forward"), ("naive", "backward")])
+def test_wide_circuits_fold_alike(spark, method, direction):
+    r = random.Random(13)
+    logs = [random_log(r) for _ in range(25)]
+    near = found(slices.slices(frame(spark, *logs), method, direction))
+    far = found(slices.slices(frame(spark, *[shifted(x, 60) for x in logs]), method, direction))
+    assert all(far[i, t + 60] == p for (i, t), p in near.items())
+    assert all(not p for (i, t), p in far.items() if t < 60)
+    comps = {(x.circuit_id, x.q): x.component for x in slices.qubit_components(frame(spark, *[shifted(x, 60) for x in logs])).collect()}
+    assert all(comps[x.circuit_id, x.q + 60] == x.component + 60 for x in slices.qubit_components(frame(spark, *logs)).collect())
+
+
 def test_explicit_edges_match(spark):
     r = random.Random(7)
     logs = [random_log(r) for _ in range(40)]

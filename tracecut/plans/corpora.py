@@ -86,7 +86,7 @@ def predecessor_edges(spark, d):
 
 def _observations(spark, d):
     o = lenses.ops(spark, d)
-    sizes = slices.slice_sizes(slices.slices(o, "causal")).unionByName(slices.slice_sizes(slices.slices(o, "naive"))).unionByName(slices.slice_sizes(slices.slices(o, "full")))
+    sizes = slices.slice_sizes(slices.slices(o, "causal", n_qubits=lenses.N_QUBITS)).unionByName(slices.slice_sizes(slices.slices(o, "naive", n_qubits=lenses.N_QUBITS))).unionByName(slices.slice_sizes(slices.slices(o, "full", n_qubits=lenses.N_QUBITS)))
     return sizes.select(F.lit("RQ2").alias("rq"), F.lit("size").alias("metric"), "method", F.concat_ws(":", "circuit_id", "target").alias("pair_id"), c("fraction").alias("value"))
 
 

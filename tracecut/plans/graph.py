@@ -60,7 +60,7 @@ SELECT r.circuit_id, r.target, CAST(max(kept) AS INTEGER) AS size, round(max(kep
 
 
 def _sizes(spark, sf_dir, method, direction):
-    found = slices.slice_sizes(slices.slices(lenses.ops(spark, sf_dir), method, direction))
+    found = slices.slice_sizes(slices.slices(lenses.ops(spark, sf_dir), method, direction, n_qubits=lenses.N_QUBITS))
     return found.select("circuit_id", "target", "size", F.round("fraction", 9).alias("fraction"))
 
 
@@ -130,7 +130,7 @@ def edges_without_type(spark, d):
 
 @query("qubit_components", f"WITH RECURSIVE {EDGES} SELECT circuit_id, q, CAST(component AS INTEGER) AS component FROM comp")
 def qubit_components(spark, d):
-    return slices.qubit_components(lenses.ops(spark, d))
+    return slices.qubit_components(lenses.ops(spark, d), lenses.N_QUBITS)
 
 
 @query(
@@ -138,7 +138,7 @@ def qubit_components(spark, d):
     f"""WITH RECURSIVE {EDGES} SELECT a.circuit_id, a.q AS target, count(*) AS size FROM comp a JOIN comp b ON b.circuit_id = a.circuit_id AND b.component = a.component GROUP BY ALL""",
 )
 def component_of_target(spark, d):
-    c = slices.qubit_components(lenses.ops(spark, d))
+    c = slices.qubit_components(lenses.ops(spark, d), lenses.N_QUBITS)
     sizes = c.groupBy("circuit_id", "component").agg(F.count(F.lit(1)).alias("size"))
     return c.join(sizes, ["circuit_id", "component"]).select("circuit_id", F.col("q").alias("target"), "size")
 
@@ -195,7 +195,7 @@ per AS (SELECT t.circuit_id, t.target, count(x.pos) AS dropped, count(x.pos) FIL
 SELECT circuit_id, round(avg(dropped), 9) AS mean_dropped, round(avg(dropped_2q), 9) AS mean_dropped_2q, round(avg(CASE WHEN dropped_2q > 0 THEN 1.0 ELSE 0 END), 9) AS signature FROM per GROUP BY ALL""")
 def dropped_two_qubit_signature(spark, d):
     o = lenses.ops(spark, d)
-    both = slices.slices(o, "causal").select("circuit_id", "target", F.col("positions").alias("causal")).join(slices.slices(o, "naive").select("circuit_id", "target", F.col("positions").alias("naive")), ["circuit_id", "target"])
+    both = slices.slices(o, "causal", n_qubits=lenses.N_QUBITS).select("circuit_id", "target", F.col("positions").alias("causal")).join(slices.slices(o, "naive", n_qubits=lenses.N_QUBITS).select("circuit_id", "target", F.col("positions").alias("naive")), ["circuit_id", "target"])
     gone = both.select("circuit_id", "target", F.array_except("causal", "naive").alias("gone"))
     two = o.where(F.size("qubits") >= 2).groupBy("circuit_id").agg(F.collect_list("pos").alias("two"))
     per = gone.join(two, "circuit_id", "left").select("circuit_id", F.size("gone").alias("dropped"), F.size(F.array_intersect("gone", F.coalesce("two", F.array().cast("array<int>")))).alias("dropped_2q"))
@@ -208,7 +208,7 @@ reach AS (SELECT circuit_id, target, pos FROM seeds UNION SELECT r.circuit_id, r
 SELECT circuit_id, target, CAST(count(DISTINCT q) AS INTEGER) AS n_touched FROM (SELECT circuit_id, target, q FROM reach JOIN wires USING (circuit_id, pos) UNION SELECT circuit_id, target, target FROM targets) GROUP BY ALL""")
 def slice_qubits_touched(spark, d):
     o = lenses.ops(spark, d)
-    return slices.touched_qubits(o, slices.slices(o)).select("circuit_id", "target", F.size("touched").alias("n_touched"))
+    return slices.touched_qubits(o, slices.slices(o, n_qubits=lenses.N_QUBITS)).select("circuit_id", "target", F.size("touched").alias("n_touched"))
 
 
 @query("materialised_slice", f"""WITH RECURSIVE {EDGES}, e AS ({_CAUSAL}),
@@ -216,7 +216,7 @@ reach AS (SELECT circuit_id, target, pos FROM seeds UNION SELECT r.circuit_id, r
 SELECT circuit_id, target, pos, CAST(row_number() OVER (PARTITION BY circuit_id, target ORDER BY pos) - 1 AS INTEGER) AS new_pos, gate FROM reach JOIN ops USING (circuit_id, pos)""")
 def materialised_slice(spark, d):
     o = lenses.ops(spark, d)
-    return slices.materialise(o, slices.slices(o)).select("circuit_id", "target", "pos", "new_pos", "gate")
+    return slices.materialise(o, slices.slices(o, n_qubits=lenses.N_QUBITS)).select("circuit_id", "target", "pos", "new_pos", "gate")
 
 
 @query("asap_layers", f"""WITH RECURSIVE {EDGES},

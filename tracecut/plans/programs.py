@@ -102,7 +102,7 @@ whole AS (SELECT circuit_id, max(depth) AS depth FROM wl GROUP BY ALL)
 SELECT l.circuit_id, l.target, round(max(l.depth) / any_value(w.depth), 6) AS drr FROM lp l JOIN whole w USING (circuit_id) GROUP BY ALL""")
 def slice_depth_ratio(spark, d):
     o = lenses.ops(spark, d)
-    return metrics.depth_ratio(o, slices.slices(o), "method").select("circuit_id", "target", F.round("drr", 6).alias("drr"))
+    return metrics.depth_ratio(o, slices.slices(o, n_qubits=lenses.N_QUBITS), "method").select("circuit_id", "target", F.round("drr", 6).alias("drr"))
 
 
 @query("metric_lists", "SELECT c_mktsegment AS stratum, count(*) AS n, round(list_sum(list_transform(list(c_acctbal), lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)) / count(*), 6) AS positive FROM customer GROUP BY ALL")
@@ -149,7 +149,7 @@ def greedy_slices(spark, d):
     from .semantics import unitary_ops
 
     o = unitary_ops(spark, d)
-    return slices.slice_sizes(simulate.greedy_slices(o, slices.slices(o))).select("circuit_id", "target", "size")
+    return slices.slice_sizes(simulate.greedy_slices(o, slices.slices(o, n_qubits=lenses.N_QUBITS))).select("circuit_id", "target", "size")
 
 
 @query("sampled_counts")

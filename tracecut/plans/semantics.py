@@ -76,7 +76,7 @@ def unitary_reduced_states(spark, d):
 
 def _records(spark, d, methods=("causal", "naive")):
     o = unitary_ops(spark, d)
-    found = tables.union_by_name([slices.slices(o, m) for m in methods])
+    found = tables.union_by_name([slices.slices(o, m, n_qubits=lenses.N_QUBITS) for m in methods])
     judged = simulate.slice_states(o, found)
     sized = slices.slice_sizes(found).select("circuit_id", "target", "method", "fraction")
     return sized.join(judged, ["circuit_id", "target", "method"]).withColumn("invalid", (c("fidelity") < 1 - simulate.SOUND).cast("int"))
@@ -104,7 +104,7 @@ def method_mcnemar(spark, d):
 @query("pruned_slices")
 def pruned_slices(spark, d):
     o = unitary_ops(spark, d)
-    return slices.slice_sizes(simulate.pruned_slices(o, slices.slices(o)))
+    return slices.slice_sizes(simulate.pruned_slices(o, slices.slices(o, n_qubits=lenses.N_QUBITS)))
 
 
 @query("influence_truth")
@@ -115,7 +115,7 @@ def influence_truth(spark, d):
 @query("forward_completeness")
 def forward_completeness(spark, d):
     o = unitary_ops(spark, d)
-    touched = slices.touched_qubits(o, slices.slices(o, "causal", "forward"))
+    touched = slices.touched_qubits(o, slices.slices(o, "causal", "forward", n_qubits=lenses.N_QUBITS))
     truth = simulate.influence(o).where("status = 'ok'").select("circuit_id", "target", "qubits")
     return slices.completeness(truth, touched).select("circuit_id", "target", "truth_size", "covered_true", "completeness", "complete")
 
