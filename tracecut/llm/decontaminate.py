@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import give_back, words_of
 
 WINDOW = 13
 #: Share of hit words from which on a document is contaminated: 1 in SHARE.
@@ -108,6 +108,8 @@ def scan_column(text: Column, items: list[tuple[str, str]], spark, window: int =
                 n, hit, items = scanner.scan(t)
                 rows.append((n, len(hit), sorted(items), _spans(t or "", hit)))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+        del scanner
+        give_back()
 
     return scan(text)
 

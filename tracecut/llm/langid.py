@@ -127,6 +127,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
             for lang, v in found.items():
                 at = np.flatnonzero(v)
                 yield pd.DataFrame({"lang": lang, "kind": kind, "slot": at, "n": v[at]})
+        give_back()
 
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text").mapInPandas(count, "lang string, kind string, slot long, n double")
     return rows.groupBy("lang", "kind", "slot").agg(F.sum("n").alias("n"))

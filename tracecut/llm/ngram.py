@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Scratch
+from .common import WORD_TABLE, Scratch, give_back
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                         "sketch": [r.tobytes() for r in sketch],
                     }
                 )
+        give_back()
 
     return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, key binary, prefixes array<long>, sketch binary")
 

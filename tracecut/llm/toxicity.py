@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE
+from .common import WORD_TABLE, give_back
 
 #: Bound of the training sample: rows of each class, in the order of a hash of their ids, and characters in all.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 40_000_000
@@ -34,7 +34,7 @@ LEVEL, MIN_MATCH = 3, 5
 #: Characters of the units whose document counts tell toxic training text from the rest of the toxic documents.
 UNIT = 5
 PAD = b"\n" * 12
-CACHE = 400_000
+CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -194,6 +194,8 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
             for at in range(0, len(s), 500):
                 out += [m.score(e) for e in measure.evidence(s.iloc[at : at + 500].tolist())]
             yield pd.Series(out, dtype="float64")
+        del measure
+        give_back()
 
     return score(text)
 
