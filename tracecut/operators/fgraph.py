@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .edges import four_edges, wires
 from .gates import MEASURES
+from .layout import by_circuit
 
 #: Edge types that each slicer variant follows.
 VARIANTS = {
@@ -33,7 +34,7 @@ def criterion_seeds(ops: DataFrame) -> DataFrame:
 def variant_slices(ops: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(circuit_id, target, variant, positions) of every variant and qubit with ops."""
     graph = four_edges(ops) if edges is None else edges
-    lists = graph.groupBy("circuit_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.collect_list(F.array_join("types", "+")).alias("types"))
+    lists = by_circuit(graph).groupBy("circuit_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"), F.collect_list(F.array_join("types", "+")).alias("types"))
     seeds = criterion_seeds(ops).groupBy("circuit_id").agg(F.collect_list(F.struct("target", "seeds")).alias("seeds"))
     rows = seeds.join(lists, "circuit_id", "left")
 

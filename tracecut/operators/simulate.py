@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gates import MEASURES, PASSIVE, UnknownGate, matrix
+from .layout import by_circuit
 
 MAX_QUBITS, MAX_BRANCHES, TINY = 16, 4096, 1e-14
 PREPARE, INFLUENCED, SOUND = 1e-9, 1e-9, 1e-6
@@ -31,7 +32,25 @@ def op_rows(ops: DataFrame) -> DataFrame:
     row = F.struct("pos", "gate", "qubits", "clbits", "params", "cond")
     width = F.max(F.array_max("qubits")) + 1
     kept = F.sort_array(F.collect_list(F.struct(F.col("pos").alias("k"), row.alias("v"))).cast(f"array<struct<k:int,v:{LOG[6:-1]}>>"))
-    return ops.groupBy("circuit_id").agg(width.alias("n_qubits"), F.transform(kept, lambda x: x["v"]).alias("log"))
+    return by_circuit(ops).groupBy("circuit_id").agg(width.alias("n_qubits"), F.transform(kept, lambda x: x["v"]).alias("log"))
+
+
+_places: dict[tuple[int, tuple[int, ...]], np.ndarray] = {}
+
+
+def places(n: int, qubits: tuple[int, ...]) -> np.ndarray:
+    """Indices of all amplitudes: a row for each value of the qubits (the first the lowest bit), a column for the rest."""
+    key = (n, qubits)
+    if key not in _places:
+        if len(_places) > 20_000:
+            _places.clear()
+        index = np.arange(1 << n)
+        value, rest = np.zeros_like(index), index.copy()
+        for j, q in enumerate(qubits):
+            value |= ((index >> q) & 1) << j
+            rest &= ~(1 << q)
+        _places[key] = index[np.lexsort((rest, value))].reshape(1 << len(qubits), -1)
+    return _places[key]
 
 
 class Machine:
@@ -55,15 +74,13 @@ class Machine:
         k = len(qubits)
         if m.shape[0] != 1 << k:
             raise UnknownGate(f"{name} on {k} qubits")
-        psi = self.psi if rows is None else self.psi[rows]
-        shape = (len(psi),) + (2,) * self.n
-        axes = [self.n - q for q in reversed(qubits)]  # axis 1 is the highest qubit
-        t = np.tensordot(m.reshape((2,) * (2 * k)), psi.reshape(shape), axes=(range(k, 2 * k), axes))
-        t = np.moveaxis(t, range(k), axes).reshape(len(psi), -1)
+        at = places(self.n, tuple(qubits))
         if rows is None:
-            self.psi = t
+            self.psi[:, at] = m @ self.psi[:, at]
         else:
-            self.psi[rows] = t
+            some = self.psi[rows]
+            some[:, at] = m @ some[:, at]
+            self.psi[rows] = some
 
     def project(self, q: int, bit: int | None, flip: bool, rows: np.ndarray | None = None) -> None:
         """Measure ``q`` into ``bit``, or reset it (``flip`` back to 0), on the branches of ``rows``."""
@@ -111,18 +128,14 @@ class Machine:
 
     def reduced(self, q: int) -> tuple[float, float, complex]:
         """r00, r11 and the upper off-diagonal of one qubit."""
-        t = self.psi.reshape(len(self.psi), 1 << (self.n - 1 - q), 2, 1 << q)
-        zero, one = t[:, :, 0, :].reshape(len(self.psi), -1), t[:, :, 1, :].reshape(len(self.psi), -1)
+        v = self.psi[:, places(self.n, (q,))]
+        zero, one = v[:, 0], v[:, 1]
         off = complex((self.prob * (zero * one.conj()).sum(axis=1)).sum())
         return float((self.prob * (np.abs(zero) ** 2).sum(axis=1)).sum()), float((self.prob * (np.abs(one) ** 2).sum(axis=1)).sum()), 0j if q in self.dephased else off
 
     def pair(self, a: int, b: int) -> np.ndarray:
         """4x4 reduced state of two qubits of a pure run."""
-        index = np.arange(1 << self.n)
-        key = ((index >> a) & 1) | (((index >> b) & 1) << 1)
-        rest = index & ~((1 << a) | (1 << b))
-        v = np.zeros((4, 1 << self.n), complex)
-        v[key, rest] = self.psi[0]
+        v = self.psi[0][places(self.n, (a, b))]
         return v @ v.conj().T
 
 
@@ -252,12 +265,81 @@ def mutual_information(m: Machine, a: int, b: int) -> float:
     return entropy_bits(_as_matrix(m.reduced(a))) + entropy_bits(_as_matrix(m.reduced(b))) - entropy_bits(m.pair(a, b))
 
 
+def separable(psi: np.ndarray, n: int, a: int, b: int, eps: float) -> bool:
+    """Whether two qubits of a pure state carry less than ``eps`` bits of mutual information.
+
+    The squared distance from the product of both states bounds it from below, which settles most pairs without
+    eigenvalues.
+    """
+    v = psi[places(n, (a, b))]
+    rho = v @ v.conj().T
+    t = rho.reshape(2, 2, 2, 2)  # (b, a, b', a')
+    ra, rb = t[0, :, 0, :] + t[1, :, 1, :], t[:, 0, :, 0] + t[:, 1, :, 1]
+    gap = rho - np.kron(rb, ra)
+    if (gap.real**2 + gap.imag**2).sum() > 2 * np.log(2) * eps:
+        return False
+    return entropy_bits(ra) + entropy_bits(rb) - entropy_bits(rho) < eps
+
+
+#: Bytes of prefix states that one circuit's pruning keeps; beyond, trials start over from the first op.
+PREFIX_BYTES = 256 << 20
+
+
+def _prune(ops: list[tuple[int, np.ndarray, np.ndarray, list[int]]], n: int, cones: dict[int, list[int]], eps: float) -> dict[int, set[int]]:
+    """Cones less the ops that separability nominates and a simulation confirms; ops are (pos, matrix, places, qubits)."""
+
+    def run(psi: np.ndarray, some: list) -> np.ndarray:
+        psi = psi.copy()
+        for _, m, at, _ in some:
+            psi[at] = m @ psi[at]
+        return psi
+
+    def state(psi: np.ndarray, q: int) -> tuple[float, float, complex]:
+        v = psi[places(n, (q,))]
+        rho = v @ v.conj().T
+        return rho[0, 0].real, rho[1, 1].real, rho[0, 1]
+
+    start = np.zeros(1 << n, complex)
+    start[0] = 1
+    by_pos = {o[0]: o for o in ops}
+    beside = {t: {p for p in c if t not in by_pos[p][3]} for t, c in cones.items()}
+    apart: dict[int, set[int]] = {t: set() for t in cones}
+    psi = start
+    for o in ops:
+        psi = run(psi, [o])
+        for t in cones:
+            if o[0] in beside[t] and all(separable(psi, n, t, q, eps) for q in o[3]):
+                apart[t].add(o[0])
+    out = {}
+    for t, cone in cones.items():
+        kept, nominated, order = set(cone), apart[t], sorted(cone)
+        want = state(psi, t)
+        hold = len(order) * (16 << n) <= PREFIX_BYTES
+        before, now = [], start
+        if nominated and hold:
+            for p in order:
+                before.append(now)
+                now = run(now, [by_pos[p]])
+        after: list = []
+        for i in range(len(order) - 1, -1, -1) if nominated else ():
+            p = order[i]
+            if p in nominated:
+                here = before[i] if hold else run(start, [by_pos[x] for x in order[:i]])
+                if distance(state(run(here, after), t), want) < eps:
+                    kept.discard(p)
+                    continue
+            after.insert(0, by_pos[p])
+        out[t] = kept
+    return out
+
+
 def pruned_slices(ops: DataFrame, causal: DataFrame, eps: float = PREPARE) -> DataFrame:
     """(circuit_id, target, method, direction, n_ops, positions): causal cones less what is separable from the target.
 
     Ops of the cone beside the target are nominated where all their qubits carry no mutual information with the target
     right after them, then dropped one by one from the end if the target's final state stays. Logs with measures, resets
-    or conditions keep their cones. All targets of a circuit share one forward pass.
+    or conditions keep their cones. All targets of a circuit share one forward pass, and a trial runs only what follows the
+    op it leaves out.
     """
     kind = dict(ops.dtypes)["circuit_id"]
     cones = causal.groupBy("circuit_id").agg(F.collect_list(F.struct("target", "positions")).alias("cones"), F.first("n_ops").alias("n_ops"))
@@ -266,26 +348,22 @@ def pruned_slices(ops: DataFrame, causal: DataFrame, eps: float = PREPARE) -> Da
         log, n = list(r["log"]), _n(r)
         cones = {int(c["target"]): [int(p) for p in c["positions"]] for c in r["cones"]}
         kept = {t: set(c) for t, c in cones.items()}
-        pure = all(o["gate"] not in MEASURES and o["cond"] is None for o in log)
-        try:
-            if pure and n <= MAX_QUBITS:
-                by_pos = {o["pos"]: o for o in log}
-                beside = {t: {p for p in c if t not in by_pos[p]["qubits"]} for t, c in cones.items()}
-                apart: dict[int, set[int]] = {t: set() for t in cones}
-                m = Machine(n)
+        if n <= MAX_QUBITS and all(o["gate"] not in MEASURES and o["cond"] is None for o in log):
+            try:
+                known: dict[tuple, np.ndarray] = {}
+                rows = []
                 for o in log:
-                    m.run([o], set())
-                    for t in cones:
-                        if o["pos"] in beside[t] and all(mutual_information(m, t, int(q)) < eps for q in o["qubits"]):
-                            apart[t].add(o["pos"])
-                for t, nominated in apart.items():
-                    want = m.reduced(t)
-                    for p in sorted(nominated, reverse=True):
-                        trial = kept[t] - {p}
-                        if distance(Machine(n).run([o for o in log if o["pos"] in trial], set()).reduced(t), want) < eps:
-                            kept[t] = trial
-        except (TooLarge, UnknownGate):
-            kept = {t: set(c) for t, c in cones.items()}
+                    if o["gate"] in PASSIVE:
+                        continue
+                    key, qubits = (o["gate"], tuple(float(p) for p in o["params"])), [int(q) for q in o["qubits"]]
+                    if key not in known:
+                        known[key] = matrix(*key)
+                    rows.append((int(o["pos"]), known[key], places(n, tuple(qubits)), qubits))
+                passive = {int(o["pos"]) for o in log if o["gate"] in PASSIVE}
+                found = _prune(rows, n, {t: [p for p in c if p not in passive] for t, c in cones.items()}, eps)
+                kept = {t: k | (passive & set(cones[t])) for t, k in found.items()}
+            except UnknownGate:
+                pass
         for t, positions in kept.items():
             yield (r["circuit_id"], t, "pruned", "backward", int(r["n_ops"]), sorted(positions))
 

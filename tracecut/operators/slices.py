@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .layout import by_circuit
+
 METHODS = ("causal", "naive", "full")
 DIRECTIONS = ("backward", "forward")
 WORD = 62
@@ -79,7 +81,7 @@ def logs(ops: DataFrame, masks: Masks | None = None) -> DataFrame:
         (arity == 2).alias("two"),
         F.col("qubits").alias("q"),
     )
-    return ops.groupBy("circuit_id").agg(
+    return by_circuit(ops).groupBy("circuit_id").agg(
         (F.max(F.array_max("qubits")) + 1).alias("n_qubits"),
         F.count(F.lit(1)).cast("int").alias("n_ops"),
         F.array_sort(F.collect_list(row)).alias("log"),  # one circuit's ops
@@ -168,7 +170,7 @@ def materialise(ops: DataFrame, found: DataFrame) -> DataFrame:
 
 def layers(ops: DataFrame) -> DataFrame:
     """(circuit_id, pos, layer): as soon as possible, one more than the latest layer on any of an op's wires."""
-    rows = ops.groupBy("circuit_id").agg((F.max(F.array_max("qubits")) + 1).alias("n_qubits"), F.array_sort(F.collect_list(F.struct("pos", F.col("qubits").alias("q")))).alias("log"))
+    rows = by_circuit(ops).groupBy("circuit_id").agg((F.max(F.array_max("qubits")) + 1).alias("n_qubits"), F.array_sort(F.collect_list(F.struct("pos", F.col("qubits").alias("q")))).alias("log"))
     start = F.struct(F.transform(F.sequence(F.lit(0), F.col("n_qubits") - 1), lambda q: F.lit(0)).alias("levels"), F.array().cast("array<struct<pos:int,layer:int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
