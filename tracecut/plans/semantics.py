@@ -68,10 +68,10 @@ def unitary_ops(spark, d):
     return prepare.renumber(o.where(c("gate").isin("cx", "h", "rz")))
 
 
-@query("unitary_reduced_states", f"WITH RECURSIVE {_U}{_WHOLE} SELECT circuit_id, target AS qubit, round(r00, 6) AS r00, round(r11, 6) AS r11, round(re01, 6) AS re01, round(im01, 6) AS im01 FROM fin")
+@query("unitary_reduced_states", f"WITH RECURSIVE {_U}{_WHOLE} SELECT circuit_id, target AS qubit, CASE WHEN abs(r00) < 5e-7 THEN 0 ELSE round(r00, 6) END AS r00, CASE WHEN abs(r11) < 5e-7 THEN 0 ELSE round(r11, 6) END AS r11, CASE WHEN abs(re01) < 5e-7 THEN 0 ELSE round(re01, 6) END AS re01, CASE WHEN abs(im01) < 5e-7 THEN 0 ELSE round(im01, 6) END AS im01 FROM fin")
 def unitary_reduced_states(spark, d):
     s = simulate.reduced_states(unitary_ops(spark, d))
-    return s.select("circuit_id", "qubit", *[F.round(x, 6).alias(x) for x in ("r00", "r11", "re01", "im01")])
+    return s.select("circuit_id", "qubit", *[F.when(F.abs(x) < 5e-7, 0.0).otherwise(F.round(x, 6)).alias(x) for x in ("r00", "r11", "re01", "im01")])
 
 
 def _records(spark, d, methods=("causal", "naive")):

@@ -29,9 +29,9 @@ def _neighbours(spark, d):
 _PAIR = RHO + ", pr AS (SELECT x.circuit_id, x.target, x.r00 AS a0, x.r11 AS a1, x.re01 AS ar, y.r00 AS b0, y.r11 AS b1, y.re01 AS br FROM rho x JOIN rho y ON y.circuit_id = x.circuit_id + 1 AND y.target = x.target)"
 
 
-@query("reduced_state", RHO + " SELECT circuit_id, CAST(target AS INTEGER) AS target, round(r00, 6) AS r00, round(r11, 6) AS r11, round(re01, 6) AS re01, 0.0::DOUBLE AS im01 FROM rho")
+@query("reduced_state", RHO + " SELECT circuit_id, CAST(target AS INTEGER) AS target, round(r00, 6) AS r00, round(r11, 6) AS r11, CASE WHEN abs(re01) < 5e-7 THEN 0 ELSE round(re01, 6) END AS re01, 0.0::DOUBLE AS im01 FROM rho")
 def reduced_state(spark, d):
-    return _states(spark, d).select("circuit_id", "target", r("r00").alias("r00"), r("r11").alias("r11"), r("re01").alias("re01"), "im01")
+    return _states(spark, d).select("circuit_id", "target", r("r00").alias("r00"), r("r11").alias("r11"), F.when(F.abs("re01") < 5e-7, 0.0).otherwise(r("re01")).alias("re01"), "im01")
 
 
 @query("purity", RHO + " SELECT circuit_id, CAST(target AS INTEGER) AS target, round(r00 * r00 + r11 * r11 + 2 * re01 * re01, 6) AS purity FROM rho")
