@@ -135,6 +135,14 @@ def test_ngram_odd_and_empty(spark):
     assert ngram.jaccard_classes(empty(spark)).count() == 0
 
 
+def test_first_rows_takes_the_least_of_those_that_repeat(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1), (None, "x", 1), (None, "x", 1), (1, "a", 3)], "doc_id long, text string, score long")
+    assert sorted(map(tuple, common.first_rows(df).collect()), key=str) == sorted([(1, "a", 3), (2, None, 1), (None, "x", 1), (None, "x", 1)], key=str)
+    assert common.first_rows(df.where("doc_id = 2")).collect() == df.where("doc_id = 2").collect()
+    near = ngram.jaccard_classes(spark.createDataFrame([(1, "q w e r t y u"), (1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_copies) for r in near} == {(1, 1, 2), (2, 1, 2)}
+
+
 def test_prefix_depth_shortens_until_the_recall():
     d = ngram.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram.TREES >= ngram.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram.TREES

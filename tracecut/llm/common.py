@@ -89,9 +89,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each key, any of those that repeat; rows without a key stay. No shuffle of rows where no key repeats."""
+    """One row for each key, the least of those that repeat; rows without a key stay.
+
+    Where no key repeats, only keys are shuffled. The row does not depend on the order of rows, so it is the same one
+    each time a plan runs.
+    """
     twice = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     if twice.limit(1).count() == 0:
         return df
-    loose = df.where(F.col(key).isNull())
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(loose)
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return df.where(F.col(key).isNotNull()).distinct().unionByName(df.where(F.col(key).isNull()))
+    ordered = [c for c, kind in df.dtypes if c != key and "map<" not in kind and "variant" not in kind]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    least = df.join(twice, key, "left_semi").groupBy(key).agg(F.min_by(row, F.struct(*[F.col(f"`{c}`") for c in ordered] or [F.lit(0)])).alias("__row"))
+    once = df.join(twice, key, "left_anti")
+    return once.select(df.columns).unionByName(least.select(key, *[F.col("__row")[c].alias(c) for c in rest]).select(df.columns))

@@ -11,7 +11,7 @@ of a component is verified exactly. Prefixes and components of more than ``BLOCK
 so no task holds more than two blocks, and none is left out.
 
 Defined cases: null and empty texts have no shingles, form no class with others and have no links; a text of fewer words
-than a shingle is one shingle of all of them; rows that repeat an id count once; null ids are given a row with no links; an
+than a shingle is one shingle of all of them; rows that repeat an id count once, with the least of their texts; null ids are given a row with no links; an
 empty table gives no rows; ties fall to the smallest doc_id.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Scratch, give_back
+from .common import WORD_TABLE, Scratch, first_rows, give_back
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -299,6 +299,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     scratch = Scratch(docs.sparkSession, "ngram")
     depth = prefix_depth(recall, threshold)
+    docs = first_rows(docs.select("doc_id", "text"))
     signed = scratch.keep(signatures(docs.where(F.col("doc_id").isNotNull()), depth))
     # Written, so that the join shuffles both sides itself and a set that many rows share can be split among tasks.
     sets = scratch.keep(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies")))
