@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,19 +279,20 @@ def encode_documents(docs: DataFrame, path: str, theta: float = THETA, seed: int
     whether that is the row's text, null counted as empty.
     """
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(path, theta, seed)
-        for frame in parts:
-            for at in range(0, len(frame), 100):
-                some = frame.iloc[at : at + 100]
-                texts = some["text"].tolist()
-                found = sampler.encode(some["doc_id"].fillna(0).astype("int64").tolist(), texts)
+        for batch in parts:
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                ids, texts = some.column(0), some.column(1).to_pylist()
+                found = sampler.encode([k or 0 for k in ids.to_pylist()], texts)
                 back = [sampler.vocabulary.decode(p) for p in found]
-                same = [a == (b or "") for a, b in zip(back, texts, strict=True)]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "pieces": [p.astype("<i4").tobytes() for p in found], "text": back, "lossless": same})
+                same = [x == (y or "") for x, y in zip(back, texts, strict=True)]
+                pieces = [p.astype("<i4").tobytes() for p in found]
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(pieces, pa.binary()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "pieces", "text", "lossless"])
         give_back()
 
-    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, pieces binary, text string, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, pieces binary, text string, lossless boolean")
 
 
 def decode_pieces(pieces: Column, path: str) -> Column:
