@@ -29,6 +29,8 @@ from .common import WORD_TABLE, give_back
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 40_000_000
 #: Bytes of each dictionary, at most.
 ORDINARY_BYTES, TOXIC_BYTES = 400_000, 4_096
+#: Cuts of ordinary text, of 300 bytes, that its dictionary is trained on, at most; evenly spaced over the sample.
+TRAINED_ON = 120_000
 #: zstandard's level; a low one takes long exact matches and leaves chance matches alone.
 LEVEL, MIN_MATCH = 3, 5
 #: Characters of the units whose document counts tell toxic training text from the rest of the toxic documents.
@@ -151,15 +153,8 @@ def _pooled(evidence: list[float], labels: list[int]) -> tuple[tuple[float, floa
     return tuple((e, a / b) for e, a, b in pools) or ((0.0, base),)
 
 
-def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityModel:
-    """Train both dictionaries on two thirds of the sample and calibrate on the rest."""
-    pool: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
-    cut = [([pool.setdefault(w, w) for w in (t or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()], y) for t, y in sample]
-    turn, fit = Counter(), []  # of each class by turns: two to fit, one to calibrate
-    for _, y in sample:
-        fit.append(turn[y] % 3 > 0)
-        turn[y] += 1
-    part = [x for x, f in zip(cut, fit, strict=True) if f]
+def _dictionaries(part: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary dictionary, and of the toxic one: what of toxic documents contrasts with ordinary ones."""
     toxic, ordinary = [w for w, y in part if y], [w for w, y in part if not y]
     seen, plain = Counter(), Counter()
     for group, count in ((toxic, seen), (ordinary, plain)):
@@ -173,12 +168,23 @@ def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityMode
     spans = sorted((s for s, v in where.items() if v >= 2), key=lambda s: (where[s], s))
     texts = [b" ".join(w) for w in ordinary]
     samples = [t[i : i + 300] for t in texts for i in range(0, len(t), 300)]
+    samples = samples[:: 1 + len(samples) // TRAINED_ON]
     base = _dictionary(samples, min(ORDINARY_BYTES, max(1024, sum(map(len, texts)) // 4))) if samples else b""
-    known = b"".join(spans)[-TOXIC_BYTES:]
-    model = ToxicityModel(base, known, ((0.0, 0.5),), window)
+    return base, b"".join(spans)[-TOXIC_BYTES:]
+
+
+def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityModel:
+    """Calibrate on a third of the sample, by dictionaries of the rest; then train both dictionaries on the whole of it."""
+    pool: dict[bytes, bytes] = {}  # one object for each word, however often it occurs
+    cut = [([pool.setdefault(w, w) for w in (t or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()], y) for t, y in sample]
+    turn, fit = Counter(), []  # of each class by turns: two to fit, one to calibrate
+    for _, y in sample:
+        fit.append(turn[y] % 3 > 0)
+        turn[y] += 1
+    trial = ToxicityModel(*_dictionaries([x for x, f in zip(cut, fit, strict=True) if f]), ((0.0, 0.5),), window)
     held = [x for x, f in zip(sample, fit, strict=True) if not f]
-    found = _Measure(model).evidence([t for t, _ in held])
-    return ToxicityModel(base, known, _pooled(found, [y for _, y in held]), window)
+    steps = _pooled(_Measure(trial).evidence([t for t, _ in held]), [y for _, y in held])
+    return ToxicityModel(*_dictionaries(cut), steps, window)
 
 
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
