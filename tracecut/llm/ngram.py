@@ -314,7 +314,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = scratch.keep(verified(placed.join(texts, "rep"), block, threshold))
     links = found.where("b = -1").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     classes = components(found.where("b <> -1").select("a", "b"), scratch).select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
-    known = members.join(links.join(classes, "rep", "full"), "rep", "left")
+    facts = scratch.keep(links.join(classes, "rep", "full"))
+    known = members.join(facts, "rep", "left")
     none = docs.select("doc_id").join(members.select("doc_id"), "doc_id", "left_anti").distinct()
     return known.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.col("rep").alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies").unionByName(
         none.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
