@@ -315,6 +315,14 @@ def test_pieces_are_lossless_and_reproducible(spark, piece_path):
     assert all(r.lossless for r in other) and {r.pieces for r in other} != {r.pieces for r in a}
 
 
+def test_pieces_of_a_slice_that_ends_without_text(piece_path):
+    s = pieces.Sampler(piece_path)
+    for texts in (["a text of several units", None, ""], ["first words here", "", "naïve 日本語 🙂 end", "", None], ["", "x y z"]):
+        found = s.encode(list(range(len(texts))), texts)
+        assert [s.vocabulary.decode(p) for p in found] == [t or "" for t in texts]
+        assert [len(p) > 0 for p in found] == [bool(t) for t in texts]
+
+
 @pytest.mark.parametrize("unit", ["nation", " the", "aaa", "ing日"])
 def test_pieces_are_drawn_in_proportion(piece_path, unit):
     s = pieces.Sampler(piece_path, theta=0.3)

@@ -238,7 +238,7 @@ class Sampler:
         out = np.empty(int(ends[-1]), np.int64)
         for k, (who, what) in enumerate(drawn):
             out[ends[who] - 1 - k] = what
-        sizes = np.add.reduceat(steps, np.minimum(np.cumsum(counts) - counts, total - 1)) * (counts > 0)
+        sizes = np.bincount(row, weights=steps, minlength=len(cut)).astype(np.int64)
         out, sizes = self._bytes(out, sizes)
         return np.split(out.astype(np.int32), np.cumsum(sizes)[:-1])
 
