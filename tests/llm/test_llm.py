@@ -251,6 +251,21 @@ def test_training_sample_is_bounded(spark):
     assert len(toxicity.training_sample(d, labels, max_chars=1000)) < 10
 
 
+def test_toxicity_without_evidence_rejects_nothing(spark):
+    for sample in ([], [("only toxic words here", 1)] * 9, [("one", 1), ("two", 0)]):
+        assert toxicity.fit_toxicity(sample).score(0.0) < 0.5
+    assert toxicity._bounded(((3.0, 0.9),), True) == ((0.0, toxicity.NO_EVIDENCE), (3.0, 0.9))
+    assert toxicity._bounded(((0.0, 0.2), (4.0, 0.9)), True) == ((0.0, 0.2), (4.0, 0.9))
+
+
+def test_training_sample_skips_what_passes_the_bound(spark):
+    ids = [r.id for r in spark.range(9).orderBy(F.xxhash64("id")).collect()]
+    texts = {i: "long " * 100 if k == 0 else f"short {i}" for k, i in enumerate(ids)}  # the long one comes first
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = toxicity.training_sample(docs(spark, [texts[i] for i in range(9)]), labels, max_chars=200)
+    assert got == sorted((texts[i], i % 2) for i in ids[1:])
+
+
 # --- line dedup
 
 

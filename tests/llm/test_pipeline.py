@@ -64,6 +64,12 @@ def test_every_stage_takes_effect_and_keeps_clean_documents(spark, folder):
     assert {r.doc_id for r in cp.run(spark, folder).select("doc_id").collect()} == set(want)
 
 
+def test_no_document_is_toxic_without_labels(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_pipeline_of_an_empty_table(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -6,8 +6,9 @@ are evidence; a document's evidence is the sum of its two largest savings. A mon
 documents turns evidence into a probability, and its crossing of one half is the threshold.
 
 Defined cases: null and empty texts have no windows and evidence 0, scored as any other document without evidence;
-texts of any length are read whole; repeated rows are scored alike; an empty table gives no rows; a model needs at least
-one labelled row of each class, without which every score is the smoothed base rate.
+texts of any length are read whole; repeated rows are scored alike; an empty table gives no rows; a text without evidence
+never reaches one half, so a model that has learnt nothing toxic (no labels, or too few) rejects no text. A labelled text
+that would pass the sample's character bound is left out of it, and those after it are still taken.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ LEVEL, MIN_MATCH = 3, 5
 UNIT = 5
 PAD = b"\n" * 12
 CACHE = 200_000
+#: Score of a text without evidence, at most.
+NO_EVIDENCE = 0.49
 
 
 @dataclass(frozen=True)
@@ -101,9 +104,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     chosen = marked.where("toxic > 0").orderBy("h", "doc_id").limit(max_toxic).unionByName(marked.where("toxic <= 0").orderBy("h", "doc_id").limit(max_ordinary))
     ids, used = [], 0
     for r in chosen.orderBy("h", "doc_id").collect():  # at most max_toxic + max_ordinary ids
+        if used + r["n"] > max_chars:
+            continue
         used += r["n"]
-        if used > max_chars:
-            break
         ids.append((r["doc_id"], int(r["toxic"] > 0)))
     if not ids:
         return []
@@ -153,6 +156,15 @@ def _pooled(evidence: list[float], labels: list[int]) -> tuple[tuple[float, floa
     return tuple((e, a / b) for e, a, b in pools) or ((0.0, base),)
 
 
+def _bounded(steps: tuple[tuple[float, float], ...], learnt: bool) -> tuple[tuple[float, float], ...]:
+    """``steps`` with evidence 0 below one half; evidence is whole bytes, so any there is starts at 1."""
+    if not learnt:
+        return ((0.0, min(steps[0][1], NO_EVIDENCE)),)
+    if steps[0][1] < 0.5:
+        return steps
+    return ((0.0, NO_EVIDENCE), *((max(e, 1.0), p) for e, p in steps))
+
+
 def _dictionaries(part: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
     """Contents of the ordinary dictionary, and of the toxic one: what of toxic documents contrasts with ordinary ones."""
     toxic, ordinary = [w for w, y in part if y], [w for w, y in part if not y]
@@ -184,7 +196,8 @@ def fit_toxicity(sample: list[tuple[str, int]], window: int = 1) -> ToxicityMode
     trial = ToxicityModel(*_dictionaries([x for x, f in zip(cut, fit, strict=True) if f]), ((0.0, 0.5),), window)
     held = [x for x, f in zip(sample, fit, strict=True) if not f]
     steps = _pooled(_Measure(trial).evidence([t for t, _ in held]), [y for _, y in held])
-    return ToxicityModel(*_dictionaries(cut), steps, window)
+    ordinary, toxic = _dictionaries(cut)
+    return ToxicityModel(ordinary, toxic, _bounded(steps, bool(toxic)), window)
 
 
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
