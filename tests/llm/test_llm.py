@@ -304,6 +304,20 @@ def test_line_dedup_keeps_every_line_once(spark):
         assert got[i] == "\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
 
 
+def test_line_dedup_aligns_with_all_earlier_holders(spark):
+    r = random.Random(8)
+    pool = [f"line {i} " + "x" * r.choice([5, 12, 18, 45]) for i in range(25)]
+    texts = ["\n".join(r.choices(pool, k=r.randrange(1, 14))) for _ in range(60)]
+    lines = [t.split("\n") for t in texts]
+    df = {x: sum(x in ls for ls in lines) for x in pool}
+    mine = [[(k, x, len(x)) for k, x in enumerate(ls) if df[x] > 1] for ls in lines]
+    want = [{p for o in range(i) for p in linededup.deleted_lines([(k, x) for k, x, _ in mine[o]], mine[i])} for i in range(60)]
+    got = {x.doc_id: x for x in linededup.dedup_lines(docs(spark, texts), all_holders=True).collect()}
+    once = {x.doc_id: x for x in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i].clean_text for i in range(60)] == ["\n".join(x for k, x in enumerate(ls) if k not in want[i]) for i, ls in enumerate(lines)]
+    assert sum(x.n_deleted for x in got.values()) > sum(x.n_deleted for x in once.values())
+
+
 def test_line_dedup_odd_and_empty(spark):
     rows = linededup.dedup_lines(odd(spark).drop("pieces")).collect()
     assert len(rows) == len(ODD) + 1 and all(r.n_deleted == 0 for r in rows if r.doc_id != 5)

@@ -99,8 +99,39 @@ def deleted_lines(earlier: list[tuple[int, int]], later: list[tuple[int, int, in
     return out
 
 
-def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK) -> DataFrame:
-    """(doc_id, gone): places, from 0, of the lines to delete from each document that loses some."""
+def runs(pos: list[int], h: list[int], n: list[int], least: int = MIN_BLOCK) -> list[tuple[int, int, int]]:
+    """(hash, first place, last place) of the shortest runs of following lines that make a block and start or end at each
+    place: every line of a block is in one of them that lies in the block."""
+    found: set[tuple[int, int]] = set()
+    start = size = 0
+    for end in range(len(pos)):
+        if end and pos[end] != pos[end - 1] + 1:
+            start, size = end, 0
+        size += n[end]
+        while size - n[start] >= least and start < end:  # a run from start has been found at an earlier end
+            size -= n[start]
+            start += 1
+        if size < least:
+            continue
+        found.add((start, end))
+        # Starts whose shortest run ends here: those before, as long as what they reach without this line is too short.
+        low, before = start, size - n[end]
+        while before < least:
+            found.add((low, end))
+            if low == 0 or pos[low - 1] + 1 != pos[low]:
+                break
+            low -= 1
+            before += n[low]
+    return [(hash(tuple(h[a : b + 1])), pos[a], pos[b]) for a, b in sorted(found)]
+
+
+def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK, all_holders: bool = False) -> DataFrame:
+    """(doc_id, gone): places, from 0, of the lines to delete from each document that loses some.
+
+    With ``all_holders``, what the first holders leave is aligned with every other earlier document that holds the same
+    run of at least ``least`` characters, which are all that could delete it: some of them by a hash of their ids, and
+    four times as many in each further round while any of it is left.
+    """
     one = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     lines = one.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     rows = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
@@ -110,7 +141,6 @@ def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK) ->
     lists = scratch.keep(lists.select("doc_id", F.col("l.pos").alias("pos"), F.col("l.h").alias("h"), F.col("l.n").alias("n")))
     pairs = shared.where("owner < doc_id").select("doc_id", "owner").distinct()
     first = lists.select(F.col("doc_id").alias("owner"), F.col("pos").alias("pos_a"), F.col("h").alias("h_a"))
-    both = pairs.join(lists, "doc_id").join(first, "owner").select("doc_id", "pos_a", "h_a", "pos", "h", "n")
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -126,15 +156,39 @@ def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK) ->
                     gone.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
-    found = both.mapInArrow(align, "doc_id long, gone array<int>")
-    places = found.select("doc_id", F.explode("gone").alias("pos")).distinct()
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(lists, "doc_id").join(first, "owner").select("doc_id", "pos_a", "h_a", "pos", "h", "n")
+        return both.mapInArrow(align, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("pos")).distinct()
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            rows = [(d, *x) for d, *l in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in runs(*l, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "w", "a", "b"])
+
+    places = aligned(pairs)
+    if all_holders:
+        places = scratch.keep(places)
+        windows = scratch.keep(lists.mapInArrow(cut, "doc_id long, w long, a int, b int"))
+        holders = scratch.keep(windows.select("w", F.col("doc_id").alias("owner")).distinct())
+        held = scratch.keep(holders.groupBy("w").agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1"))
+        left = windows.join(held, "w").where("least < doc_id").select("doc_id", "w", "held", F.explode(F.sequence("a", "b")).alias("pos"))
+        left = scratch.keep(left.join(places, ["doc_id", "pos"], "left_anti"))
+        low, high = 0, 4
+        while (most := left.agg(F.max("held")).first()[0]) is not None and low < most:
+            turn = F.pmod(F.xxhash64("owner"), F.col("held"))
+            more = left.select("doc_id", "w", "held").distinct().join(holders, "w").where((F.col("owner") < F.col("doc_id")) & (turn >= low) & (turn < high))
+            found = scratch.keep(aligned(more.select("doc_id", "owner").distinct()))
+            places = places.unionByName(found)
+            left = scratch.keep(left.join(found, ["doc_id", "pos"], "left_anti"))
+            low, high = high, 4 * high
+        places = places.distinct()
     return places.groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))  # one document's places
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK, all_holders: bool = False) -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines`` and ``n_deleted``; other columns and all rows stay."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = scratch.keep(line_deletions(docs, scratch, least)).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
+    gone = scratch.keep(line_deletions(docs, scratch, least, all_holders)).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     # A merge join at every size: deletions grow with the table, so they are not to be broadcast.
     joined = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__id"), "left").drop("__id")
     lines = lines_of(F.col("text"))

@@ -27,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), all_holders=True)
     return out.select("doc_id", "n_lines", "n_deleted", F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"), F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
