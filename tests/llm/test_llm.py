@@ -422,6 +422,22 @@ def test_viterbi_of_many_texts(few):
         at += n
 
 
+def test_paths_without_the_best_single_language():
+    class Model:
+        languages = ("x", "y", "z")
+
+        def scores(self, words):
+            return np.array([{"a": (17, -100, 0), "b": (-100, 17, 0), "c": (9, 3, 0)}[w] for w in words], np.float32)
+
+    labeller = langid.Labeller(Model(), 18.0)
+    r = random.Random(5)
+    texts = [["a", "b"], *(r.choices("abc", k=r.randrange(1, 9)) for _ in range(200))]
+    for words, path in zip(texts, labeller.paths(texts), strict=True):
+        s = Model().scores(words).astype(float)
+        worth = [s[np.arange(len(s)), p].sum() - 18.0 * (p[1:] != p[:-1]).sum() for p in (path.astype(int), langid.viterbi(s, 18.0).astype(int))]
+        assert worth[0] == pytest.approx(worth[1])
+
+
 # --- secrets
 
 

@@ -255,8 +255,10 @@ class Labeller:
             best = int(np.argmax(s.sum(axis=0, dtype=np.float64)))
             lead = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
             low = np.minimum.accumulate(lead, axis=0)
-            # A path may switch in at its start or out at its end for one penalty, and for two in between.
-            if max(float((lead[1:] - low[:-1]).max()) if b - a > 1 else 0.0, float(lead.max())) < self.switch:
+            # A path of m runs pays m - 1 penalties: it gains at most what its first and last run do, and each run between.
+            outer = max(0.0, float(lead.max())) + max(0.0, float((lead[-1] - low[-1]).max()))
+            inner = float((lead[1:] - low[:-1]).max()) if b - a > 1 else 0.0
+            if outer < self.switch and inner < self.switch:
                 path[a:b] = best
             else:
                 hard.append(d)
