@@ -167,6 +167,11 @@ def test_components(spark):
     assert got == {v: x for v, x in root.items() if any(a != b and v in (a, b) for a, b in edges)}
 
 
+def test_components_do_not_end_unfinished(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), common.Scratch(spark, "t"), most_rounds=1)
+
+
 # --- decontamination
 
 

@@ -13,7 +13,8 @@ from .common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of each node with an edge (a, b); the component is its least node."""
+    """(node, component) of each node with an edge (a, b); the component is its least node. An error where ``most_rounds``
+    rounds do not end it."""
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
@@ -35,5 +36,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
