@@ -248,6 +248,43 @@ def test_toxicity_odd_empty_and_single_class(spark):
     assert toxicity.fit_toxicity([("only ordinary words here", 0)] * 9).score(0.0) < 0.5
 
 
+def test_every_toxic_word_saves_bytes_and_ordinary_ones_do_not():
+    train = toxic_corpus(900, 1)
+    model = toxicity.fit_toxicity(train)
+    measure = toxicity.Measure(model)
+    plain = [t for t, y in toxic_corpus(200, 7) if not y]
+    for word in ("zqidiot", "zqmoron", "kwerpul"):
+        assert word.encode() in model.toxic
+        hit = [w.replace(b" ", b" " + word.encode() + b" ", 4).replace(word.encode() + b" ", b"", 3) for t in plain[:40] for w in toxicity.windows(t)[:1]]
+        saved = measure.saved(hit)
+        assert np.median(saved) >= 3 and (saved > 0).mean() > 0.85, word
+    saved, owner = measure.by_text(plain)
+    assert (saved > 0).mean() < 0.01 and len(set(owner.tolist())) == len(plain)
+
+
+def test_phrases_of_ordinary_words_are_seen():
+    r = random.Random(5)
+    words = ["".join(r.choices(["an", "er", "th", "on"], k=3)) for _ in range(60)]
+    make = lambda bad: " ".join(x for _ in range(60) for x in (["ander", "thonan"] if bad and r.random() < 0.05 else [r.choice([*words, "ander"]), r.choice(["thonan", *words])]))
+    sample = [(make(i % 4 == 0), int(i % 4 == 0)) for i in range(600)]
+    clean = [(t.replace("ander thonan", "ander erer thonan") if not y else t, y) for t, y in sample]
+    assert any(b"ander thonan" in b"".join(p) for p in toxicity.toxic_passages(clean))
+
+
+def test_windows_hold_every_word():
+    text = " ".join(f"w{i}" for i in range(100))
+    for size in (1, 2, 5, 16):
+        got = [w.split() for w in toxicity.windows(text, size)]
+        assert {x for w in got for x in w} == {f"w{i}".encode() for i in range(100)} and max(map(len, got)) == size
+    assert toxicity.windows("") == toxicity.windows(None) == [] and len(toxicity.windows("one")) == 1
+
+
+def test_training_sample_counts_a_repeated_id_once(spark):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.training_sample(d, labels) == [("a", 1), ("c", 0)]
+
+
 def test_training_sample_is_bounded(spark):
     d = docs(spark, [t for t, _ in toxic_corpus(60, 4)])
     labels = spark.createDataFrame([(i, int(i % 6 == 0), 1) for i in range(60)] + [(0, 1, 1), (None, 1, 1), (5, None, 1)], "doc_id long, toxic int, quality int")
