@@ -10,13 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Number of control qubits by gate name; 0 where absent.
-NUM_CTRL = {"cx": 1, "cy": 1, "cz": 1, "ch": 1, "cp": 1, "crx": 1, "cry": 1, "crz": 1, "cs": 1, "csdg": 1, "csx": 1, "cu": 1, "cu1": 1, "cu3": 1, "cswap": 1, "ccx": 2, "ccz": 2, "rccx": 0, "c3x": 3, "c4x": 4, "c3sqrtx": 3}
+NUM_CTRL = {"cx": 1, "cnot": 1, "cy": 1, "cz": 1, "ch": 1, "cp": 1, "crx": 1, "cry": 1, "crz": 1, "cs": 1, "csdg": 1, "csx": 1, "cu": 1, "cu1": 1, "cu3": 1, "cswap": 1, "ccx": 2, "toffoli": 2, "ccz": 2, "rccx": 0, "c3x": 3, "c4x": 4, "c3sqrtx": 3}
 #: Ops that measure or reset, that are not ops on a state, and that count as entangling in a circuit's figures.
 MEASURES = ("measure", "reset")
 PASSIVE = ("barrier", "delay")
 TWO_QUBIT_COUNTED = ("cx", "cnot", "cz", "ecr", "rzz")
-#: Gates that the lenient reader keeps, with their number of qubits.
-LENIENT = {"id": 1, "x": 1, "y": 1, "z": 1, "h": 1, "s": 1, "sdg": 1, "t": 1, "tdg": 1, "rx": 1, "ry": 1, "rz": 1, "p": 1, "u": 1, "u1": 1, "u2": 1, "u3": 1, "cx": 2, "cy": 2, "cz": 2, "ch": 2, "swap": 2, "ccx": 3, "cu1": 2, "cp": 2}
+#: Gates that the lenient reader keeps.
+LENIENT = ("id", "x", "y", "z", "h", "s", "sdg", "t", "tdg", "rx", "ry", "rz", "p", "u1", "u2", "u3", "u", "cx", "cnot", "cz", "cy", "ch", "swap", "ccx", "toffoli")
 
 
 def touches(gate: str) -> Column:
@@ -50,7 +50,7 @@ _PLAIN = {
     "ryy": lambda a: math.cos(a / 2) * np.eye(4) - 1j * math.sin(a / 2) * np.kron(_Y, _Y),
 }
 #: Controlled forms: the gate under control and how many controls come first.
-_CONTROLLED = {"cx": ("x", 1), "cnot": ("x", 1), "cy": ("y", 1), "cz": ("z", 1), "ch": ("h", 1), "cp": ("p", 1), "cu1": ("u1", 1), "cu3": ("u3", 1), "crx": ("rx", 1), "cry": ("ry", 1), "crz": ("rz", 1), "csx": ("sx", 1), "cs": ("s", 1), "csdg": ("sdg", 1), "cswap": ("swap", 1), "ccx": ("x", 2), "ccz": ("z", 2), "c3x": ("x", 3), "c4x": ("x", 4)}
+_CONTROLLED = {"cx": ("x", 1), "cnot": ("x", 1), "cy": ("y", 1), "cz": ("z", 1), "ch": ("h", 1), "cp": ("p", 1), "cu1": ("u1", 1), "cu3": ("u3", 1), "crx": ("rx", 1), "cry": ("ry", 1), "crz": ("rz", 1), "csx": ("sx", 1), "cs": ("s", 1), "csdg": ("sdg", 1), "cswap": ("swap", 1), "ccx": ("x", 2), "toffoli": ("x", 2), "ccz": ("z", 2), "c3x": ("x", 3), "c4x": ("x", 4)}
 
 
 class UnknownGate(ValueError):

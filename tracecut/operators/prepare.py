@@ -105,5 +105,5 @@ def metadata(ops: DataFrame, bins: tuple[int, int] = (50, 500)) -> DataFrame:
 
 
 def without_measures(ops: DataFrame) -> DataFrame:
-    """Ops without measures and barriers, whatever follows them; for exact outcome distributions."""
-    return ops.where(~F.col("gate").isin("measure", "barrier"))
+    """Ops without measures, resets and barriers, whatever follows them; for exact outcome distributions."""
+    return ops.where(~F.col("gate").isin("measure", "reset", "barrier"))

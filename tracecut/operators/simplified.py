@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .edges import wires
-from .slices import _mask, logs
+from .slices import WORD, _mask, logs
 
 
 def _unitary(ops: DataFrame) -> DataFrame:
     return ops.where(~F.col("gate").isin("measure", "reset", "barrier") & F.col("cond").isNull())
 
 
+def _narrow(ops: DataFrame) -> DataFrame:
+    """Logs by circuit; an error for qubits that one word cannot hold, which would share a bit with others."""
+    top = F.max(F.array_max("qubits"))
+    wide = ops.groupBy("circuit_id").agg(F.when(top >= WORD, F.raise_error(F.concat(F.lit(f"the simplified lineage serves {WORD} qubits; circuit "), F.col("circuit_id").cast("string")))).alias("__wide"))
+    return logs(ops).join(wide, "circuit_id").where(F.col("__wide").isNull()).drop("__wide")
+
+
 def target_components(ops: DataFrame) -> DataFrame:
     """(circuit_id, target, component): mask of the qubits that ops on two and more qubits connect with the target."""
-    rows = logs(ops)
+    rows = _narrow(ops)
     rows = rows.withColumn("target", F.explode(F.sequence(F.lit(0), F.col("n_qubits") - 1)))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target"))
     grow = lambda m: F.aggregate("log", m, lambda a, x: F.when((F.bit_count(x["m"]) >= 2) & (x["m"].bitwiseAND(a) != 0), a.bitwiseOR(x["m"])).otherwise(a))
@@ -40,7 +47,7 @@ def own_slices(ops: DataFrame) -> DataFrame:
 def predecessor_edges(ops: DataFrame) -> DataFrame:
     """(circuit_id, src, dst, edge_type): the previous op on each wire, and on each other qubit of the components that an op
     of two and more qubits finds active, which it merges."""
-    rows = logs(ops)
+    rows = _narrow(ops)
     start = F.struct(
         F.transform(F.sequence(F.lit(0), F.col("n_qubits") - 1), lambda q: F.call_function("shiftleft", F.lit(1).cast("long"), q)).alias("parts"),
         F.transform(F.sequence(F.lit(0), F.col("n_qubits") - 1), lambda q: F.lit(-1)).alias("last"),

@@ -339,7 +339,7 @@ def pruned_slices(ops: DataFrame, causal: DataFrame, eps: float = PREPARE) -> Da
     Ops of the cone beside the target are nominated where all their qubits carry no mutual information with the target
     right after them, then dropped one by one from the end if the target's final state stays. Logs with measures, resets
     or conditions keep their cones. All targets of a circuit share one forward pass, and a trial runs only what follows the
-    op it leaves out.
+    op it leaves out. ``status`` tells the cones that stay because of a limit or an unknown gate from those that were tried.
     """
     kind = dict(ops.dtypes)["circuit_id"]
     cones = causal.groupBy("circuit_id").agg(F.collect_list(F.struct("target", "positions")).alias("cones"), F.first("n_ops").alias("n_ops"))
@@ -348,6 +348,7 @@ def pruned_slices(ops: DataFrame, causal: DataFrame, eps: float = PREPARE) -> Da
         log, n = list(r["log"]), _n(r)
         cones = {int(c["target"]): [int(p) for p in c["positions"]] for c in r["cones"]}
         kept = {t: set(c) for t, c in cones.items()}
+        status = "ok" if n <= MAX_QUBITS else "too_large"
         if n <= MAX_QUBITS and all(o["gate"] not in MEASURES and o["cond"] is None for o in log):
             try:
                 known: dict[tuple, np.ndarray] = {}
@@ -362,16 +363,17 @@ def pruned_slices(ops: DataFrame, causal: DataFrame, eps: float = PREPARE) -> Da
                 passive = {int(o["pos"]) for o in log if o["gate"] in PASSIVE}
                 found = _prune(rows, n, {t: [p for p in c if p not in passive] for t, c in cones.items()}, eps)
                 kept = {t: k | (passive & set(cones[t])) for t, k in found.items()}
-            except UnknownGate:
-                pass
+            except UnknownGate as e:
+                status = _row_status(e)
         for t, positions in kept.items():
-            yield (r["circuit_id"], t, "pruned", "backward", int(r["n_ops"]), sorted(positions))
+            yield (r["circuit_id"], t, "pruned", "backward", int(r["n_ops"]), sorted(positions), status)
 
-    return _map(op_rows(ops).join(cones, "circuit_id"), prune, f"circuit_id {kind}, target int, method string, direction string, n_ops int, positions array<int>")
+    return _map(op_rows(ops).join(cones, "circuit_id"), prune, f"circuit_id {kind}, target int, method string, direction string, n_ops int, positions array<int>, status string")
 
 
 def greedy_slices(ops: DataFrame, start: DataFrame, least: float = 0.999999) -> DataFrame:
-    """Delete and simulate again, from the end, while the target's fidelity stays at ``least``: the superseded refinement."""
+    """Delete and simulate again, from the end, while the target's fidelity stays at ``least``: the superseded refinement.
+    Where a limit or an unknown gate ends it, ``status`` says so and the slice given stays."""
     kind = dict(ops.dtypes)["circuit_id"]
     given = start.groupBy("circuit_id").agg(F.collect_list(F.struct("target", "positions")).alias("cones"), F.first("n_ops").alias("n_ops"))
 
@@ -387,12 +389,12 @@ def greedy_slices(ops: DataFrame, start: DataFrame, least: float = 0.999999) ->
                     trial = kept - {p}
                     if fidelity(Machine(n).run([o for o in log if o["pos"] in trial], terminal).reduced(t), want) >= least:
                         kept = trial
-                yield (r["circuit_id"], t, "greedy", "backward", int(r["n_ops"]), sorted(kept))
-        except (TooLarge, UnknownGate):
+                yield (r["circuit_id"], t, "greedy", "backward", int(r["n_ops"]), sorted(kept), "ok")
+        except (TooLarge, UnknownGate) as e:
             for c in r["cones"]:
-                yield (r["circuit_id"], int(c["target"]), "greedy", "backward", int(r["n_ops"]), sorted(int(p) for p in c["positions"]))
+                yield (r["circuit_id"], int(c["target"]), "greedy", "backward", int(r["n_ops"]), sorted(int(p) for p in c["positions"]), _row_status(e))
 
-    return _map(op_rows(ops).join(given, "circuit_id"), refine, f"circuit_id {kind}, target int, method string, direction string, n_ops int, positions array<int>")
+    return _map(op_rows(ops).join(given, "circuit_id"), refine, f"circuit_id {kind}, target int, method string, direction string, n_ops int, positions array<int>, status string")
 
 
 def outcome_probabilities(ops: DataFrame) -> DataFrame:

@@ -132,12 +132,14 @@ def stars(p: Column) -> Column:
 def bootstrap_interval(rows: DataFrame, keys: list[str], value: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, mean, ci_low, ci_high): percentile bootstrap of the mean.
 
-    Each row draws Poisson(1) weights for all replicates from a hash of its key columns and value, so replicates are sums
-    that combine on the map side; no group is gathered, however large.
+    Each row draws Poisson(1) weights for all replicates from a hash of its keys, its value and its number among equal
+    rows, so draws depend on the rows alone, not on their order; replicates are sums that combine on the map side, and no
+    group is gathered, however large.
     """
-    reps = rows.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    rowkey = F.monotonically_increasing_id() if "row_key" not in rows.columns else F.col("row_key")
-    u = F.pmod(F.xxhash64(rowkey, "rep", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    each = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    reps = each.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    u = F.pmod(F.xxhash64(*keys, value, "__i", "rep", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
     acc, term, w = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(8):  # Poisson(1) by its distribution function
         acc += term

@@ -252,14 +252,17 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
-def flatten_json(c: Column) -> Column:
-    """Map of the scalars of a JSON object of up to two levels: keys joined by underscores; deeper values stay JSON."""
-    top = F.from_json(c, "map<string,string>")
-    inner = F.transform(F.map_entries(top), lambda e: F.when(
-        F.substring(F.trim(e["value"]), 1, 1) == "{",
-        F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda i: F.struct(F.concat(e["key"], F.lit("_"), i["key"]).alias("key"), i["value"].alias("value"))),
-    ).otherwise(F.array(e)))
-    return F.map_from_entries(F.flatten(inner))
+def flatten_json(c: Column, depth: int = 8) -> Column:
+    """Map of the scalars of a JSON object: keys of the objects on the way joined by underscores. What lies below ``depth``
+    levels stays JSON, as lists do."""
+    named = "map<string,string>"
+    entries = F.map_entries(F.from_json(c, named))
+    for _ in range(depth - 1):
+        entries = F.flatten(F.transform(entries, lambda e: F.when(
+            F.substring(F.trim(e["value"]), 1, 1) == "{",
+            F.transform(F.map_entries(F.from_json(e["value"], named)), lambda i: F.struct(F.concat(e["key"], F.lit("_"), i["key"]).alias("key"), i["value"].alias("value"))),
+        ).otherwise(F.array(e))))
+    return F.map_from_entries(entries)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

@@ -48,11 +48,12 @@ def qasm_peek(spark, d):
     return qasm.peek(program_texts(spark, d))
 
 
-@query("qasm_errors", "SELECT doc_id AS circuit_id, CASE WHEN length(trim(text)) = 0 THEN 1 ELSE 1 END AS failed FROM documents WHERE doc_id % 10 = 0")
+@query("qasm_errors", f"WITH {lenses.OPS_SQL} SELECT 'text ' || doc_id AS circuit_id, 1 AS failed FROM documents UNION ALL SELECT DISTINCT 'program ' || circuit_id, 0 FROM ops")
 def qasm_errors(spark, d):
-    """Texts that are no programs are told as rows with their error."""
-    t = lenses.table(spark, d, "documents").where("doc_id % 10 = 0").select(c("doc_id").alias("path"), "text")
-    return qasm.program_ops(t).select("circuit_id", c("error").isNotNull().cast("int").alias("failed")).distinct()
+    """Texts that are no programs are told as rows with their error, beside programs that are read."""
+    t = lenses.table(spark, d, "documents").select(F.concat(F.lit("text "), c("doc_id").cast("string")).alias("path"), "text")
+    p = program_texts(spark, d).withColumn("path", F.concat(F.lit("program "), c("path").cast("string")))
+    return qasm.program_ops(t.unionByName(p)).select("circuit_id", c("error").isNotNull().cast("int").alias("failed")).distinct()
 
 
 @query("expanded_by_definition", f"WITH {lenses.OPS_SQL} SELECT circuit_id, count(*) + 2 * count(*) FILTER (gate = 'cx') AS n_ops, count(*) FILTER (gate = 'cx') AS n_cz FROM ops GROUP BY ALL")

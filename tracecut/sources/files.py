@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 import os
+import shutil
 import tarfile
 import zipfile
 
@@ -73,7 +75,8 @@ def combined(suites: dict[str, DataFrame], names: list[str]) -> DataFrame:
 
 
 def extract_archives(root: str) -> list[str]:
-    """Unpack .zip and .tar archives of a local folder once, each marked when done; members never leave the folder."""
+    """Unpack .zip and .tar archives and .qasm.gz files of a local folder once, each marked when done; members never leave
+    the folder."""
     done = []
     for folder, _, files in os.walk(root):
         for name in sorted(files):
@@ -89,6 +92,9 @@ def extract_archives(root: str) -> list[str]:
             elif name.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
                 with tarfile.open(path) as t:
                     t.extractall(folder, filter="data")
+            elif name.endswith(".qasm.gz"):
+                with gzip.open(path) as packed, open(path[:-3], "wb") as out:
+                    shutil.copyfileobj(packed, out)
             else:
                 continue
             open(mark, "w").close()

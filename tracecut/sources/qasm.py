@@ -355,8 +355,8 @@ def peek(programs: DataFrame) -> DataFrame:
 def lenient_ops(programs: DataFrame) -> DataFrame:
     """(circuit_id, pos, gate, qubits, param_text): kept gates with indexed arguments only, one index space for all registers.
 
-    Measures, resets, conditions, definitions, unknown gates and whole-register arguments are dropped, as are statements
-    whose number of qubits is not the gate's.
+    Measures, resets, conditions, definitions, unknown gates and whole-register arguments are dropped; the number of qubits
+    is not held against the gate's.
     """
     rows = programs.select(F.col("path").alias("circuit_id"), statements(F.regexp_replace("text", r"(?s)gate\s[^{}]*\{[^{}]*\}", "")).alias("s"))
     regs = rows.select("circuit_id", F.posexplode("s").alias("at", "st")).where(F.col("st").rlike(r"^qreg\b"))
@@ -369,9 +369,8 @@ def lenient_ops(programs: DataFrame) -> DataFrame:
     calls = rows.select("circuit_id", F.posexplode("s").alias("at", "st")).withColumn("gate", gate).where(F.col("gate").isin(*LENIENT))
     args = F.regexp_extract_all("st", F.lit(r"(\w+) ?\[ ?\d+ ?\]"), F.lit(1)), F.regexp_extract_all("st", F.lit(r"\w+ ?\[ ?(\d+) ?\]"), F.lit(1))
     calls = calls.withColumn("regs", args[0]).withColumn("idx", args[1]).join(regs, "circuit_id")
-    arity = F.coalesce(F.create_map(*[x for g, n in LENIENT.items() for x in (F.lit(g), F.lit(n))])[F.col("gate")], F.lit(0))
     known = F.forall("regs", lambda r: F.map_contains_key("bases", r))
-    calls = calls.where((F.size("regs") == arity) & known)
+    calls = calls.where((F.size("regs") > 0) & known)
     qubits = F.zip_with("regs", "idx", lambda r, i: F.element_at("bases", r) + i.cast("int"))
     params = F.regexp_extract("st", r"^[a-z][a-z0-9]* ?\((.*)\) ?[A-Za-z_]", 1)
     out = calls.select("circuit_id", "at", "gate", qubits.alias("qubits"), params.alias("param_text"))
