@@ -551,6 +551,92 @@ def test_bad_templates_are_rejected(spark):
     assert {(r.template, r.verdict) for r in got} == {("/spam/*", "block"), ("/good/*", "allow")}
 
 
+def plain_tree(pages, bad, fanout, levels):
+    """The tree of each host by recursion over lists; shares of every page."""
+
+    def shape(x):
+        return "*" + (re.search(r"(\.[A-Za-z]{1,5})$", x) or [""])[0] if re.search("[0-9]", x) else x
+
+    host, nodes = {}, {}
+    for i, u in pages.items():
+        h, p, _ = brute_url(u)
+        s = [shape(x) for x in re.sub("/$", "", re.sub("^/", "", p)).split("/")]
+        host[i], nodes[i] = h, s if len(s) <= levels else [*s[:levels], "/".join(s[levels:])]
+
+    def generalise(ids, d):
+        here = [i for i in ids if len(nodes[i]) > d]
+        if len({nodes[i][d] for i in here}) > fanout:
+            for i in here:
+                nodes[i] = [*nodes[i][:d], "*", *nodes[i][d + 1 :]]
+        for x in {nodes[i][d] for i in here}:
+            generalise([i for i in here if nodes[i][d] == x], d + 1)
+
+    share = {}
+    every = [bad[i] for i in pages if i in bad]
+    base = (sum(every) + 1) / (len(every) + 2)
+
+    def count(ids):
+        return float(sum(i in bad for i in ids)), float(sum(bad.get(i, 0) for i in ids))
+
+    def judge(ids, d, p):
+        kids = {}
+        for i in ids:
+            kids.setdefault((nodes[i] + [""])[d], []).append(i)
+        order = sorted(kids, key=lambda x: (-1.0 if not count(kids[x])[0] else count(kids[x])[1] / count(kids[x])[0], x))
+        groups = []
+        for x in order:
+            n, k = count(kids[x])
+            if groups:
+                gn, gk, names = groups[-1]
+                q = (gk + k + 1) / (gn + n + 2)
+                gap = abs(gk / max(gn, 1) - k / max(n, 1))
+                if not n or not gn or gap < urlfilter.MERGE_Z * (q * (1 - q) * (1 / max(gn, 1) + 1 / max(n, 1))) ** 0.5:
+                    groups[-1] = (gn + n, gk + k, [*names, x])
+                    continue
+            groups.append((n, k, [x]))
+        for gn, gk, names in groups:
+            now = (gk + urlfilter.PRIOR * p) / (gn + urlfilter.PRIOR)
+            for x in names:
+                ends = [i for i in kids[x] if len(nodes[i]) == d]
+                share.update({i: now for i in ends})
+                if len(ends) < len(kids[x]):
+                    judge([i for i in kids[x] if len(nodes[i]) > d], d + 1, now)
+
+    for h in set(host.values()):
+        ids = [i for i in pages if host[i] == h]
+        generalise(ids, 0)
+        n, k = count(ids)
+        judge(ids, 0, (k + urlfilter.PRIOR * base) / (n + urlfilter.PRIOR))
+    return {i: ("/" + "/".join(nodes[i]), share[i]) for i in pages}
+
+
+@pytest.mark.parametrize(("fanout", "levels"), [(64, 12), (4, 12), (4, 3)])
+def test_url_tree_matches_a_plain_one(spark, fanout, levels):
+    r = random.Random(fanout + levels)
+    pages, bad = {}, {}
+    for i in range(500):
+        depth = r.randrange(0, 7)
+        seg = [r.choice(["a", "b", "spam", "x9", "p1.html", f"u{chr(97 + r.randrange(9))}"]) for _ in range(depth)]
+        pages[i] = f"http://{r.choice(['h.test', 'h.test', 'k.test'])}/{'/'.join(seg)}" + r.choice(["", "/", "?q=1"])
+        if r.random() < 0.7:
+            bad[i] = int(r.random() < (0.9 if "spam" in seg else 0.1))
+    rows = spark.createDataFrame(list(pages.items()), "page_id long, url string")
+    got = urlfilter.judge_urls(rows, spark.createDataFrame(list(bad.items()), "page_id long, bad int"), fanout=fanout, levels=levels).collect()
+    want = plain_tree(pages, bad, fanout, levels)
+    assert len(got) == len(pages)
+    for x in got:
+        assert (x.template, pytest.approx(x.share)) == want[x.page_id]
+        assert x.verdict == ("block" if x.share >= urlfilter.REJECT else "allow")
+    assert {x.verdict for x in got} == {"block", "allow"}
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(i, f"http://shop.test/a/b/{'spam' if i % 2 else 'good'}/c/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "page_id long, bad int")
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {(r.template, r.verdict) for r in got} == {("/a/b/spam/c/*", "block"), ("/a/b/good/c/*", "allow")}
+
+
 # --- token files
 
 

@@ -137,25 +137,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, labels).withColumn("share", F.round("share", 9))
 
 
-ORACLE["op8_url_filter"] = r"""
+@_query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the URL filter that SQL can say: host, path and rule. The tree is tested against a plain one."""
+    cut = table(spark, sf_dir, "pages").select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    rule, verdict = urlfilter.matching_rule(F.col("host"), F.col("path"))
+    return cut.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+
+
+ORACLE["url_rules"] = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-seg AS (SELECT *, list_transform(string_split(regexp_replace(regexp_replace(path, '^/', ''), '/$', ''), '/'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' || regexp_extract(x, '(\.[A-Za-z]{1,5})$', 1) ELSE x END) AS s FROM p),
-br AS (SELECT *, coalesce(s[1], '') AS s1, coalesce(s[2], '') AS s2, len(s) > 2 AS more FROM seg),
-w1 AS (SELECT host FROM br GROUP BY host HAVING count(DISTINCT s1) > 64),
-l1 AS (SELECT br.*, CASE WHEN w1.host IS NULL THEN s1 ELSE '*' END AS t1 FROM br LEFT JOIN w1 ON w1.host = br.host),
-w2 AS (SELECT host, t1 FROM l1 GROUP BY ALL HAVING count(DISTINCT s2) > 64),
-l2 AS (SELECT l1.*, CASE WHEN w2.host IS NULL THEN s2 ELSE '*' END AS t2 FROM l1 LEFT JOIN w2 ON w2.host = l1.host AND w2.t1 = l1.t1),
-t AS (SELECT page_id, host, path, '/' || t1 || CASE WHEN t2 <> '' THEN '/' || t2 ELSE '' END || CASE WHEN more THEN '/**' ELSE '' END AS template FROM l2),
-marks AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY ALL),
-c AS (SELECT host, template, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k FROM t LEFT JOIN marks USING (page_id) GROUP BY ALL),
-hs AS (SELECT *, sum(n) OVER (PARTITION BY host) AS hn, sum(k) OVER (PARTITION BY host) AS hk, (sum(k) OVER () + 1) / (sum(n) OVER () + 2) AS base FROM c),
-hsh AS (SELECT *, (hk + 8 * base) / (hn + 8) AS share_h FROM hs),
-z AS (SELECT *, abs(k / greatest(n, 1) - (hk - k) / greatest(hn - n, 1)) / sqrt(share_h * (1 - share_h) * (1 / greatest(n, 1) + 1 / greatest(hn - n, 1))) AS z FROM hsh),
-v AS (SELECT host, template, CASE WHEN n = 0 OR hn - n = 0 OR z < 1.96 THEN share_h ELSE (k + 8 * share_h) / (n + 8) END AS share FROM z),
 r(what, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-fit AS (SELECT t.host, t.path, arg_max(h || p, length(h || p)) AS rule, arg_max(what, length(h || p)) AS what FROM (SELECT DISTINCT host, path FROM t) t JOIN r ON (t.host = r.h OR t.host LIKE '%.' || r.h) AND starts_with(t.path, r.p) GROUP BY ALL)
-SELECT t.page_id, t.host, t.path, t.template, round(v.share, 9) AS share, f.rule, coalesce(f.what, CASE WHEN v.share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM t JOIN v USING (host, template) LEFT JOIN fit f ON f.host = t.host AND f.path = t.path
+fit AS (SELECT t.host, t.path, arg_max(h || p, length(h || p)) AS rule, arg_max(what, length(h || p)) AS what FROM (SELECT DISTINCT host, path FROM p) t JOIN r ON (t.host = r.h OR t.host LIKE '%.' || r.h) AND starts_with(t.path, r.p) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, f.rule, f.what AS ruled FROM p LEFT JOIN fit f ON f.host = p.host AND f.path = p.path
 """
