@@ -143,9 +143,22 @@ def test_first_rows_takes_the_least_of_those_that_repeat(spark):
     assert {(r.doc_id, r.class_id, r.n_copies) for r in near} == {(1, 1, 2), (2, 1, 2)}
 
 
-def test_prefix_depth_shortens_until_the_recall():
-    d = ngram.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** ngram.TREES >= ngram.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram.TREES
+def test_missed_links_are_estimated():
+    s = np.array([0.8, 0.9, 1.0])
+    stands, lost = ngram.missed(s, 4)
+    assert stands * ngram.TREES * s**4 == pytest.approx(1)  # a link matches in that many trees, on average
+    assert lost / stands == pytest.approx((1 - s**4) ** ngram.TREES) and lost[-1] == 0
+
+
+def test_prefixes_are_shortened_by_what_is_found(spark, monkeypatch):
+    depths = []
+    plain = ngram.likely_edges
+    monkeypatch.setattr(ngram, "likely_edges", lambda h, s, depth, *more: depths.append(depth) or plain(h, s, depth, *more))
+    ngram.jaccard_classes(docs(spark, [f"{x} " + " ".join(f"w{k}" for k in range(400)) for x in "abcdefgh"])).count()
+    assert depths == [ngram.DEPTH]  # links of 0.98: whole signatures do
+    depths.clear()
+    ngram.jaccard_classes(docs(spark, list(near_texts().values()))).count()
+    assert depths[0] == ngram.DEPTH and len(depths) > 1 and depths == sorted(depths, reverse=True)
 
 
 def test_overlaps_are_exact():

@@ -1,14 +1,16 @@
 """N-gram Jaccard join: all links of Jaccard similarity of at least ``THRESHOLD`` between sets of word shingles.
 
 Texts with equal shingle sets form a class and are joined once, as its representative. An LSH forest of ``TREES`` trees
-holds a signature of ``DEPTH`` minhashes for each tree; representatives are sorted by tree and signature, and the prefix
-that must match is shortened from ``DEPTH`` until a pair at the threshold shares a prefix in some tree with at least the
-target recall. Prefixes that only one representative has are dropped before anything else moves.
+holds a signature of ``DEPTH`` minhashes for each tree, as bytes whose order is that of the tree's sorted prefix trie.
+Representatives meet first where whole signatures match; from what is found there, the links that were missed are
+estimated (a link of similarity s matches d minhashes in a share of s ** d of the trees), and matched prefixes are shortened
+by one minhash, round by round, until the estimated recall reaches the target. Prefixes that only one representative has
+are dropped before anything else moves.
 
 Within a shared prefix, sketches (one byte of each minhash) tell the few likely pairs from chance matches; only a
 spanning forest of them leaves a task. Its components bring the texts of likely partners together once, where every pair
-of a component is verified exactly. Prefixes and components of more than ``BLOCK`` members are dealt as pairs of blocks,
-so no task holds more than two blocks, and none is left out.
+of a component is verified exactly, on 64-bit hashes of its shingles. Prefixes and components of more than ``BLOCK``
+members are dealt as pairs of blocks, so no task holds more than two blocks, and none is left out.
 
 Defined cases: null and empty texts have no shingles, form no class with others and have no links; a text of fewer words
 than a shingle is one shingle of all of them; rows that repeat an id count once, with the least of their texts; null ids are given a row with no links; an
@@ -29,8 +31,8 @@ from .common import WORD_TABLE, Scratch, first_rows, give_back
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees of the forest, minhashes of a tree, and the recall at the threshold that prefixes are shortened for.
-TREES, DEPTH, RECALL = 24, 5, 0.99999
+#: Trees of the forest, minhashes of a tree, and the recall that prefixes are shortened for.
+TREES, DEPTH, RECALL = 24, 6, 0.99999
 #: Members of a prefix or component that one task compares with as many others.
 BLOCK = 512
 #: Sketch similarity below which a pair is a chance match: five standard deviations under the threshold.
@@ -93,15 +95,14 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out.T
 
 
-def prefix_depth(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until a pair at the threshold meets in some tree with the recall asked for."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def missed(similarity: np.ndarray, depth: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+    """Links that one match in a tree stands for, and those of them that match in no tree, by similarity."""
+    one = similarity**depth
+    return 1 / (trees * one), (1 - one) ** trees / (trees * one)
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, key, prefixes, sketch) of every row with shingles: digest of the set, prefix of each tree, a byte of each minhash."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, prefixes, sketch) of every row with shingles: digest of the set, signature of each tree, a byte of each minhash."""
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
@@ -112,21 +113,19 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                 if not full:
                     continue
                 m = minhashes([sets[i] for i in full])
-                heads = np.zeros((len(full), TREES), np.uint64)
-                for d in range(depth):
-                    heads = _mixed(heads * _P + m[:, d::DEPTH].astype(np.uint64) + np.uint64(d + 1))
+                raw = m.astype(">u4").tobytes()  # in this order, bytes sort as the numbers do
                 sketch = (_mixed(m.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].iloc[full].to_numpy(),
                         "key": [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full],
-                        "prefixes": list(heads.astype(np.int64)),
+                        "prefixes": [[raw[i : i + 4 * DEPTH] for i in range(at, at + 4 * TREES * DEPTH, 4 * DEPTH)] for at in range(0, len(raw), 4 * TREES * DEPTH)],
                         "sketch": [r.tobytes() for r in sketch],
                     }
                 )
         give_back()
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, key binary, prefixes array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, key binary, prefixes array<binary>, sketch binary")
 
 
 def dealt(rows: DataFrame, sizes: DataFrame, on: list[str], member: str, block: int) -> DataFrame:
@@ -190,28 +189,30 @@ def _sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
     return left, (left if bi == bj else np.flatnonzero(mine == bj)), bool(bi == bj)
 
 
-def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different rows whose sketches agree in at least that share of their bytes."""
-    a, b = [], []
+def _alike(sketch: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different rows whose sketches agree in at least that share of their bytes, with the share."""
+    a, b, c = [], [], []
     for i in left.tolist():
-        j = right[(sketch[right] == sketch[i]).mean(axis=1) >= least]
-        j = j[j != i]
-        a.append(np.full(len(j), i))
-        b.append(j)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def likely_edges(reps: DataFrame, scratch: Scratch, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): a spanning forest, prefix by prefix, of the pairs whose sketches are near enough."""
-    heads = scratch.keep(reps.select(F.col("rep"), F.posexplode("prefixes").alias("tree", "head")))
-    sizes = heads.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = dealt(heads, sizes, ["tree", "head"], "rep", block)
-    rows = shared.join(reps.select("rep", "sketch"), "rep")
+        share = (sketch[right] == sketch[i]).mean(axis=1)
+        near = (share >= least) & (right != i)
+        a.append(np.full(int(near.sum()), i))
+        b.append(right[near])
+        c.append(share[near])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c)
+
+
+def likely_edges(heads: DataFrame, sketches: DataFrame, depth: int, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, met, lost): a spanning forest, prefix by prefix, of the pairs whose sketches are near enough where ``depth``
+    minhashes match; and, in rows without a pair, the links that a task's matches stand for and those of them missed."""
+    cut = heads.select("rep", "tree", F.substring("head", 1, 4 * depth).alias("head"))
+    sizes = cut.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = dealt(cut, sizes, ["tree", "head"], "rep", block).join(sketches, "rep")
     keys = ["tree", "head", "bi", "bj"]
     least = threshold - SLACK
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
+        met = lost = 0.0
         for g in _groups(parts, keys):
             left, right, same = _sides(g)
             if not len(left) or not len(right):
@@ -219,15 +220,34 @@ def likely_edges(reps: DataFrame, scratch: Scratch, block: int = BLOCK, threshol
             ids = g["rep"].to_numpy()
             sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
             # What joins inside a block is told by the block's own pair; here it only keeps the edges across few.
-            known = None if same else tuple(np.concatenate(x) for x in zip(_alike(sketch, left, left, least), _alike(sketch, right, right, least), strict=True))
-            i, j = _alike(sketch, left, right, least)
-            out += [(ids[p], ids[q]) for p, q in _forest(len(g), i, j, known)]
+            known = None if same else tuple(np.concatenate(x) for x in zip(_alike(sketch, left, left, least)[:2], _alike(sketch, right, right, least)[:2], strict=True))
+            i, j, share = _alike(sketch, left, right, least)
+            near = share[share >= threshold]
+            stands, gone = missed(near, depth)
+            met += float(stands.sum()) / (2 if same else 1)
+            lost += float(gone.sum()) / (2 if same else 1)
+            out += [(ids[p], ids[q], 0.0, 0.0) for p, q in _forest(len(g), i, j, known)]
             if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
+                yield pd.DataFrame(out, columns=["a", "b", "met", "lost"])
                 out = []
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame([*out, (-1, -1, met, lost)], columns=["a", "b", "met", "lost"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(match, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(match, "a long, b long, met double, lost double")
+
+
+def forest_edges(reps: DataFrame, scratch: Scratch, recall: float = RECALL, block: int = BLOCK, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): edges between likely partners, from the longest matching prefixes down to those that the recall asks for."""
+    heads = scratch.keep(reps.select("rep", F.posexplode("prefixes").alias("tree", "head")))
+    sketches = reps.select("rep", "sketch")
+    for depth in range(DEPTH, 0, -1):
+        found = scratch.keep(likely_edges(heads, sketches, depth, block, threshold))
+        got = found.where("met > 0").agg(F.sum("met").alias("met"), F.sum("lost").alias("lost")).first()
+        # Without a match there is nothing to judge the depth by; the threshold itself is the worst that a link can be.
+        short = got["lost"] / (got["met"] or 1.0) if got["met"] else float((1 - threshold**depth) ** TREES)
+        if short <= 1 - recall or depth == 1:
+            return found.where("a >= 0").select("a", "b").distinct()
+        scratch.drop(found)
+    raise AssertionError("a depth of 1 always returns")
 
 
 def overlaps(sets: list[np.ndarray], columns: int = 20_000) -> np.ndarray:
@@ -298,15 +318,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     other shingle sets that are similar, ``class_id`` the smallest doc_id that links lead to.
     """
     scratch = Scratch(docs.sparkSession, "ngram")
-    depth = prefix_depth(recall, threshold)
     docs = first_rows(docs.select("doc_id", "text"))
-    signed = scratch.keep(signatures(docs.where(F.col("doc_id").isNotNull()), depth))
+    signed = scratch.keep(signatures(docs.where(F.col("doc_id").isNotNull())))
     # Written, so that the join shuffles both sides itself and a set that many rows share can be split among tasks.
     sets = scratch.keep(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies")))
     members = scratch.keep(signed.select("doc_id", "key").distinct().join(sets, "key").select("doc_id", "rep", "n_copies"))
     reps = signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "prefixes", "sketch")
     reps = scratch.keep(reps)
-    edges = likely_edges(reps, scratch, block, threshold)
+    edges = forest_edges(reps, scratch, recall, block, threshold)
     near = scratch.keep(components(edges, scratch))
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = dealt(near.withColumnRenamed("node", "rep"), sizes, ["component"], "rep", block)
