@@ -477,6 +477,13 @@ def test_viterbi_of_many_texts(few):
         at += n
 
 
+def test_viterbi_of_many_languages():
+    s = np.full((4, 200), -50.0)
+    s[:2, 150], s[2:, 199] = 0.0, 0.0
+    for few in (0, 9):
+        assert langid.viterbi_all(s, np.array([4]), 5.0, few).tolist() == [150, 150, 199, 199]
+
+
 def test_paths_without_the_best_single_language():
     class Model:
         languages = ("x", "y", "z")
@@ -513,20 +520,34 @@ def test_base_secrets(text):
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
     d = docs(spark, [*SECRETS, *SECRETS, "NULL"])
-    got = {r.doc_id: [tuple(x) for x in r.findings] for r in secrets.secret_findings(d, path).collect()}
+    got = {r.doc_id: [tuple(x) for x in r.findings] for r in secrets.secret_findings(d, path, scan="1").collect()}
     assert all([x for x in got[i] if x[0] in secrets.BASE] == brute_secrets("" if t == "NULL" else t) for i, t in enumerate([*SECRETS, *SECRETS, "NULL"]))
-    before = spark.read.parquet(path).count()
+    before = secrets.read_ledger(spark, path).count()
     assert before == len(set(SECRETS))
-    secrets.scan_new(d, path)
-    assert spark.read.parquet(path).count() == before
-    secrets.scan_new(docs(spark, ["brand new password=abcdefg"]), path)
-    assert spark.read.parquet(path).count() == before + 1
-    secrets.scan_new(d, path, rule_version=2)
-    assert spark.read.parquet(path).count() == 2 * before + 1
+    secrets.scan_new(d, path, scan="2")
+    assert secrets.read_ledger(spark, path).count() == before
+    again = secrets.secret_findings(docs(spark, [*SECRETS, "brand new password=abcdefg"]), path, scan="3").collect()
+    assert [r.doc_id for r in again if r.scan == "3"] == [len(SECRETS)] and {r.scan for r in again} == {"1", "3"}
+    assert secrets.read_ledger(spark, path).where("scan = '3'").count() == 1
+    secrets.scan_new(d, path, version="other")
+    assert secrets.read_ledger(spark, path, "other").count() == before
+    assert secrets.read_ledger(spark, path).count() == before + 1
     assert secrets.secret_findings(odd(spark), path).count() == len(ODD) + 1
     assert secrets.secret_findings(empty(spark), path).count() == 0
 
 
+def test_findings_join_back_to_all_paths_and_versions(spark, tmp_path):
+    rows = [("a.txt", 1, "token=abcdefgh"), ("a.txt", 2, "nothing"), ("b/a.txt", 1, "token=abcdefgh"), ("c", 7, None), (None, None, "token=abcdefgh")]
+    d = spark.createDataFrame(rows, "path string, version int, text string")
+    got = {(r.path, r.version): len(r.findings) for r in secrets.secret_findings(d, str(tmp_path / "l")).collect()}
+    assert got == {("a.txt", 1): 1, ("a.txt", 2): 0, ("b/a.txt", 1): 1, ("c", 7): 0, (None, None): 1}
+
+
+def test_rule_version_follows_the_rules():
+    other = (*secrets.RULES[:-1], (*secrets.RULES[-1][:3], 2))
+    assert secrets.rule_version() == secrets.rule_version(tuple(secrets.RULES)) != secrets.rule_version(other)
+
+
 # --- urls
 
 

@@ -1,18 +1,22 @@
 """Secret scans with an incremental blob ledger.
 
-Every version of every text is a blob, addressed by the SHA-256 of its UTF-8 bytes. The ledger is a table of
-(blob, rule_version, findings) in the shared folder; a scan reads it, takes the blobs that it lacks for the rule version
-asked for, scans each once through one of the rows that carry it, appends, and joins findings back to all rows.
+Every version of every file is a row with a text, whose blob is addressed by the SHA-256 of its UTF-8 bytes. The ledger is
+a table of (blob, findings, scan) in the folder that the caller names, with a part for each version of the rules, which is a
+digest of the rules themselves. A scan reads only the blobs that the ledger lacks for its rules, each once for a task,
+appends them, and findings join back to every path and version that has the blob. A first scan moves no text; a later one
+moves one text for each blob and task, to leave out those that are known.
 
 Base kinds are ``assign``, ``access`` and ``hex``; the method adds ``github``, ``jwt`` and ``pem``, whose spans never replace
 a base one.
 
-Defined cases: null text is the empty blob; empty blobs have no findings; blobs that many rows share are scanned once;
-rows that repeat are joined each; an empty table adds nothing; a ledger path that does not exist yet is an empty ledger.
+Defined cases: null text is the empty blob; empty blobs have no findings; blobs that many rows share are told once; rows
+that repeat are joined each; an empty table adds nothing; a ledger path that does not exist yet is an empty ledger; columns
+of the caller named as those added (``blob``, ``findings``, ``scan``) are replaced by them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,9 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Raised with every change of the rules below: blobs are scanned anew under a new version.
-RULE_VERSION = 1
-
 #: The kinds in their order, each with its pattern, the group that is measured and its least length.
 RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6),
@@ -62,32 +63,38 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for start, _, kind, end in out]
 
 
-def blobs(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+def rule_version(rules=RULES) -> str:
+    """Digest of the rules: another pattern, order or length is another version, under which all blobs are new."""
+    told = [(kind, pattern.pattern, int(pattern.flags), group, least) for kind, pattern, group, least in rules]
+    return hashlib.sha256(repr(told).encode()).hexdigest()[:16]
+
 
+def blobs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger; empty where nothing has been written."""
-    schema = f"blob string, rule_version int, findings {FINDINGS}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+
+def read_ledger(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """(blob, findings, scan) of the blobs that have been scanned under these rules; empty where nothing has been written."""
+    part = f"{path}/rules={version or rule_version()}"
+    schema = f"blob binary, findings {FINDINGS}, scan string"
+    p = spark._jvm.org.apache.hadoop.fs.Path(part)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
+    return spark.read.schema(schema).parquet(part)
 
-def scan_new(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION) -> None:
-    """Scan the blobs of ``docs`` that the ledger lacks under the rule version, and append them to it.
 
-    Only ids move to choose one row for each blob; the texts of the chosen rows move once.
-    """
-    spark = docs.sparkSession
-    known = read_ledger(spark, ledger_path).where(F.col("rule_version") == rule_version).select("blob")
-    rows = blobs(docs.select("doc_id", "text"))
-    chosen = rows.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("id")).join(known, "blob", "left_anti")
-    unseen = rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(chosen, ["id", "blob"], "left_semi").select("blob", "text")
+def scan_new(rows: DataFrame, ledger_path: str, version: str | None = None, scan: str = "") -> None:
+    """Scan the blobs of ``rows`` (text) that the ledger lacks under the rules, and append them to it, marked as ``scan``."""
+    spark = rows.sparkSession
+    version = version or rule_version()
+    known = read_ledger(spark, ledger_path, version).select("blob")
+    new = blobs(rows.select("text"))
+    if known.limit(1).count():
+        # Copies meet in their task before one text for each blob moves.
+        new = new.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
 
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[str] = set()  # rows that repeat an id and a text lie in one task
+    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[bytes] = set()
         for frame in parts:
             frame = frame[~frame["blob"].duplicated() & ~frame["blob"].isin(done)]
             if frame.empty:
@@ -95,14 +102,18 @@ def scan_new(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION
             if len(done) < 1_000_000:
                 done.update(frame["blob"])
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t)] for t in frame["text"]]
-            yield pd.DataFrame({"blob": frame["blob"].to_numpy(), "rule_version": rule_version, "findings": found})
+            yield pd.DataFrame({"blob": frame["blob"].to_numpy(), "findings": found})
 
-    unseen.mapInPandas(scan, f"blob string, rule_version int, findings {FINDINGS}").write.mode("append").parquet(ledger_path)
+    told = new.select("blob", "text").mapInPandas(find, f"blob binary, findings {FINDINGS}")
+    told = told.groupBy("blob").agg(F.first("findings").alias("findings"))  # equal texts have equal findings
+    told.withColumn("scan", F.lit(scan)).write.mode("append").parquet(f"{ledger_path}/rules={version}")
 
 
-def secret_findings(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION) -> DataFrame:
-    """``docs`` rows as (doc_id, blob, findings), after a scan of what is new."""
-    scan_new(docs, ledger_path, rule_version)
-    spark = docs.sparkSession
-    told = read_ledger(spark, ledger_path).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).dropDuplicates(["blob"]).select("blob", "findings")
-    return blobs(docs.select("doc_id", "text")).select("doc_id", "blob").join(told, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+def secret_findings(rows: DataFrame, ledger_path: str, version: str | None = None, scan: str = "") -> DataFrame:
+    """``rows`` (text and the columns that name its path and version) without the text, with ``blob``, ``findings`` and the
+    ``scan`` that read the blob, after a scan of what is new."""
+    scan_new(rows, ledger_path, version, scan)
+    told = read_ledger(rows.sparkSession, ledger_path, version).dropDuplicates(["blob"])
+    names = [c for c in rows.columns if c not in ("text", "blob", "findings", "scan")]
+    out = blobs(rows.select(*[F.col(f"`{c}`") for c in names], "text")).drop("text").join(told, "blob", "left")
+    return out.select(*[F.col(f"`{c}`") for c in names], "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"), "scan")
