@@ -153,15 +153,15 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def viterbi_all(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH, few: int = 24) -> np.ndarray:
-    """Best paths of several texts, whose words follow each other in ``scores``: a word of every text at a time, and text by
+    """Best paths of several texts, of 32,767 languages at most, whose words follow each other in ``scores``: a word of every text at a time, and text by
     text once few are left."""
     n, k = scores.shape
     order = np.argsort(-lengths, kind="stable")
     sizes = lengths[order]
     starts = (np.cumsum(lengths) - lengths)[order]
-    back = np.empty((n, k), np.int8)
-    path = np.empty(n, np.int8)
-    own = np.arange(k, dtype=np.int8)
+    back = np.empty((n, k), np.int16)
+    path = np.empty(n, np.int16)
+    own = np.arange(k, dtype=np.int16)
     v = np.zeros((len(sizes), k))
     deep = int(sizes[few]) if len(sizes) > few else 0  # words that all but a few texts have
     live = np.searchsorted(-sizes, -np.arange(1, deep + 1), side="right")
@@ -194,7 +194,7 @@ def viterbi_all(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH,
         if marks:
             back[begin : first + sizes[d]] = marks
         v[d] = run
-    now = v.argmax(axis=1).astype(np.int8)
+    now = v.argmax(axis=1).astype(np.int16)
     for d in range(len(sizes)):
         if sizes[d] <= deep:
             break
