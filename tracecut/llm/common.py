@@ -20,8 +20,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one where none is named and all runs in
+    one process; an error on a cluster, whose executors could not read each other's rows."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tracecut-shared-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -9,7 +9,7 @@ The benchmark goes to the workers in blocks of at most ``BLOCK_CHARS`` character
 scans, whose hits are merged by row.
 
 Defined cases: null and empty texts and items have no words and never match; an empty benchmark leaves all documents
-clean; items that repeat a window all count; repeated rows are judged alike; texts of any length are read whole.
+clean; items without an id are left out; items that repeat a window all count; repeated rows are judged alike; texts of any length are read whole.
 """
 
 from __future__ import annotations

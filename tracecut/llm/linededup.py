@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment: delete from a document the blocks of lines that an earlier one has in the same order.
 
-Lines are trimmed and hashed. A line that at least two documents hold names its first holder (smallest doc_id) as a partner
+Lines are trimmed of spaces, tabs and carriage returns, and hashed. A line that at least two documents hold names its first holder (smallest doc_id) as a partner
 of all later holders, so a document has at most as many partners as lines, however many documents share a line, and a
 line shared by few is as good as one shared by many. Pairs are aligned by patience diff over the lines that repeat across
 documents: lines unique in both ranges whose order agrees anchor the alignment, ranges between anchors are aligned again,
@@ -133,10 +133,11 @@ def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK, al
     four times as many in each further round while any of it is left.
     """
     one = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    lines = one.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    rows = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
-    owners = rows.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
-    shared = scratch.keep(rows.join(scratch.keep(owners), "h"))
+    lines = one.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line <> ''")
+    # Lines meet across documents on 128 bits; two documents that share lines are aligned on the first 64.
+    rows = lines.select("doc_id", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.length("line").alias("n"))
+    owners = rows.groupBy("h", "g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "g", "owner")
+    shared = scratch.keep(rows.join(scratch.keep(owners), ["h", "g"]).drop("g"))
     lists = shared.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("l"))  # one document's lines
     lists = scratch.keep(lists.select("doc_id", F.col("l.pos").alias("pos"), F.col("l.h").alias("h"), F.col("l.n").alias("n")))
     pairs = shared.where("owner < doc_id").select("doc_id", "owner").distinct()
@@ -186,7 +187,8 @@ def line_deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_BLOCK, al
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_BLOCK, all_holders: bool = False) -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_lines`` and ``n_deleted``; other columns and all rows stay."""
+    """``docs`` with ``clean_text``, ``n_lines`` and ``n_deleted``, which replace columns of those names; other columns and
+    all rows stay."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = scratch.keep(line_deletions(docs, scratch, least, all_holders)).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     # A merge join at every size: deletions grow with the table, so they are not to be broadcast.
