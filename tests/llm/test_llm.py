@@ -527,7 +527,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     secrets.scan_new(d, path, scan="2")
     assert secrets.read_ledger(spark, path).count() == before
     again = secrets.secret_findings(docs(spark, [*SECRETS, "brand new password=abcdefg"]), path, scan="3").collect()
-    assert [r.doc_id for r in again if r.scan == "3"] == [len(SECRETS)] and {r.scan for r in again} == {"1", "3"}
+    assert [len(r.findings) for r in again if r.doc_id == len(SECRETS)] == [1]
     assert secrets.read_ledger(spark, path).where("scan = '3'").count() == 1
     secrets.scan_new(d, path, version="other")
     assert secrets.read_ledger(spark, path, "other").count() == before

@@ -126,10 +126,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An earlier history of half the documents first; the scan of all of them reads only the blobs that are new.
     secrets.scan_new(docs.where(fold(F.col("doc_id"), 2) == 0), ledger, scan="earlier")
     found = secrets.secret_findings(docs, ledger, scan="later")
+    read = secrets.read_ledger(spark, ledger).agg(F.count_if(F.col("scan") == "earlier").alias("blobs_earlier"), F.count_if(F.col("scan") == "later").alias("blobs_later"))  # one row
+    found = found.join(F.broadcast(read))
     of = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = listed(F.filter("findings", lambda s: s["kind"].isin(*secrets.BASE)))
-    return found.select("doc_id", *map(of, secrets.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "scan")
+    return found.select("doc_id", *map(of, secrets.BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"), "blobs_earlier", "blobs_later")
 
 
 @_query

@@ -11,7 +11,7 @@ a base one.
 
 Defined cases: null text is the empty blob; empty blobs have no findings; blobs that many rows share are told once; rows
 that repeat are joined each; an empty table adds nothing; a ledger path that does not exist yet is an empty ledger; columns
-of the caller named as those added (``blob``, ``findings``, ``scan``) are replaced by them.
+of the caller named as those added (``blob``, ``findings``) are replaced by them.
 """
 
 from __future__ import annotations
@@ -110,10 +110,10 @@ def scan_new(rows: DataFrame, ledger_path: str, version: str | None = None, scan
 
 
 def secret_findings(rows: DataFrame, ledger_path: str, version: str | None = None, scan: str = "") -> DataFrame:
-    """``rows`` (text and the columns that name its path and version) without the text, with ``blob``, ``findings`` and the
-    ``scan`` that read the blob, after a scan of what is new."""
+    """``rows`` (text and the columns that name its path and version) without the text, with ``blob`` and ``findings``, after
+    a scan of what is new. Only blobs with findings are joined back."""
     scan_new(rows, ledger_path, version, scan)
-    told = read_ledger(rows.sparkSession, ledger_path, version).dropDuplicates(["blob"])
-    names = [c for c in rows.columns if c not in ("text", "blob", "findings", "scan")]
+    told = read_ledger(rows.sparkSession, ledger_path, version).where(F.size("findings") > 0).dropDuplicates(["blob"]).select("blob", "findings")
+    names = [c for c in rows.columns if c not in ("text", "blob", "findings")]
     out = blobs(rows.select(*[F.col(f"`{c}`") for c in names], "text")).drop("text").join(told, "blob", "left")
-    return out.select(*[F.col(f"`{c}`") for c in names], "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"), "scan")
+    return out.select(*[F.col(f"`{c}`") for c in names], "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
