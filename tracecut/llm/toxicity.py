@@ -21,9 +21,11 @@ text.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -54,7 +56,7 @@ PAD = b"\n" * 9
 NO_EVIDENCE = 0.49
 #: Bytes saved on a window from which on all count alike.
 MOST = 24
-#: Slots of contexts seen and of counts of word pairs.
+#: Bits of the slots of contexts seen, one bit each, and of those of counts of word pairs.
 _CONTEXTS, _PAIRS = 27, 22
 
 
@@ -116,12 +118,12 @@ class Measure:
 
     def by_text(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bytes saved on each window of the texts, and the text of each window."""
-        cut, owner = [], []
-        for i, t in enumerate(texts):
-            w = windows(t, self.model.window)
-            cut += w
-            owner.append(np.full(len(w), i))
-        return self.saved(cut), np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        saved, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 200):
+            cut = [windows(t, self.model.window) for t in texts[at : at + 200]]
+            counts.append(np.array(list(map(len, cut)), np.int64))
+            saved.append(self.saved([w for one in cut for w in one]))
+        return np.concatenate(saved), np.repeat(np.arange(len(texts)), np.concatenate(counts))
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         return _summed(*self.by_text(texts), len(texts), self.model.ratios, self.model.per_text)
@@ -159,7 +161,7 @@ def _numbered(part: list[tuple[str, int]]) -> tuple[list[bytes], list[np.ndarray
     number: dict[bytes, int] = {}
     groups: tuple[list, list] = ([], [])
     for t, y in part:
-        groups[y].append(np.array([number.setdefault(w, len(number) + 1) for w in _words(t)], np.int64))
+        groups[y].append(np.array([number.setdefault(w, len(number) + 1) for w in _words(t)], np.int32))
     return [b"", *number], groups[0], groups[1]
 
 
@@ -167,14 +169,15 @@ def _seen_first(key: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Places of the contexts that have not been seen; they are from now on."""
     h = (_mixed(key) >> np.uint64(64 - _CONTEXTS)).astype(np.int64)
     h, at = np.unique(h, return_index=True)
-    new = ~seen[h]
-    seen[h[new]] = True
+    byte, bit = h >> 3, (1 << (h & 7)).astype(np.uint8)
+    new = (seen[byte] & bit) == 0
+    np.bitwise_or.at(seen, byte[new], bit[new])
     return at[new]
 
 
 def _word_contexts(texts: list[np.ndarray], n: int) -> np.ndarray:
     """Distinct contexts of each word, which are the words beside it; copies add none."""
-    seen, out = np.zeros(1 << _CONTEXTS, bool), np.zeros(n, np.int64)
+    seen, out = np.zeros(1 << _CONTEXTS - 3, np.uint8), np.zeros(n, np.int64)
     for w in texts:
         x = np.concatenate([[0], w, [0]]).astype(np.uint64)
         key = _mixed(_mixed(_mixed(x[:-2]) + x[1:-1]) + x[2:])
@@ -184,7 +187,7 @@ def _word_contexts(texts: list[np.ndarray], n: int) -> np.ndarray:
 
 def _pair_contexts(texts: list[np.ndarray], plain: np.ndarray) -> np.ndarray:
     """Distinct contexts of each slot of pairs of ``plain`` words that follow each other."""
-    seen, out = np.zeros(1 << _CONTEXTS, bool), np.zeros(1 << _PAIRS, np.int64)
+    seen, out = np.zeros(1 << _CONTEXTS - 3, np.uint8), np.zeros(1 << _PAIRS, np.int32)
     for w in texts:
         at = np.flatnonzero(plain[w[:-1]] & plain[w[1:]])
         x = np.concatenate([[0], w, [0]]).astype(np.uint64)
@@ -198,15 +201,23 @@ def _pair_slots(w: np.ndarray) -> np.ndarray:
     return (_mixed(_mixed(u[:-1]) + u[1:]) >> np.uint64(64 - _PAIRS)).astype(np.int64)
 
 
+def _leaning(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Whether counts are RATIO times as frequent in toxic text, of which there is a share ``p``."""
+    return a / np.maximum(a + b, 1) >= RATIO * p / (1 + (RATIO - 1) * p)
+
+
 def _contrast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether counts ``a`` in toxic text stand out against ``b`` in ordinary text, by a likelihood ratio."""
-    a, b = a.astype(float), b.astype(float)
+    out = np.zeros(len(a), bool)
     if not a.sum() or not b.sum():
-        return np.zeros(len(a), bool)
-    p = a.sum() / (a.sum() + b.sum())
-    n = np.maximum(a + b, 1)
-    gain = a * np.log(np.maximum(a, 1) / n / p) + b * np.log(np.maximum(b, 1) / n / (1 - p))
-    return (a / n >= RATIO * p / (1 + (RATIO - 1) * p)) & (gain >= math.log(max(1, int((a + b > 0).sum()))) + MARGIN)
+        return out
+    p, least = a.sum() / (a.sum() + b.sum()), math.log(max(1, int(((a > 0) | (b > 0)).sum()))) + MARGIN
+    at = np.flatnonzero(a > 1)  # one context never stands out
+    a, b = a[at].astype(float), b[at].astype(float)
+    n = a + b
+    gain = a * np.log(a / n / p) + b * np.log(np.maximum(b, 1) / n / (1 - p))
+    out[at] = _leaning(a, b, p) & (gain >= least)
+    return out
 
 
 def _units(word: bytes) -> list[tuple[int, bytes]]:
@@ -227,13 +238,17 @@ def _spans(word: bytes, units: set[bytes]) -> list[bytes]:
     return out
 
 
-def _runs_met(texts: list[bytes], passages: list[bytes]) -> Counter:
-    """How often the texts hold each part of a passage, of MIN_MATCH bytes at least, that is part of no longer one there."""
+def _runs_met(texts: Iterable[str], passages: list[bytes]) -> tuple[Counter, int]:
+    """How often the texts hold each part of a passage, of MIN_MATCH bytes at least, that is part of no longer one there;
+    and their bytes."""
     parts = {p[i:j] for p in passages for i in range(len(p)) for j in range(i + MIN_MATCH, len(p) + 1)}
     heads = np.unique(_packed(b"".join(x for x in parts if len(x) == MIN_MATCH))[::MIN_MATCH])
     longest = max(map(len, passages))
     met: Counter = Counter()
-    for t in texts:
+    size = 0
+    for text in texts:
+        t = b" " + b" ".join(_words(text)) + b" "
+        size += len(t)
         v = _packed(t)
         at = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, v), len(heads) - 1)] == v)
         end = 0
@@ -244,7 +259,7 @@ def _runs_met(texts: list[bytes], passages: list[bytes]) -> Counter:
             if j > end:
                 met[t[i:j]] += 1
                 end = j
-    return met
+    return met, size
 
 
 def _packed(t: bytes) -> np.ndarray:
@@ -258,15 +273,21 @@ def toxic_passages(part: list[tuple[str, int]]) -> list[list[bytes]]:
     """What of each toxic text contrasts with ordinary text; texts without any left out."""
     words, ordinary, toxic = _numbered(part)
     a, b = _word_contexts(toxic, len(words)), _word_contexts(ordinary, len(words))
+    # A run that leans to toxic text is part of a word that does.
     number: dict[bytes, int] = {}
-    at, of = [], []
+    for i in np.flatnonzero((a > 0) & _leaning(a, b, a.sum() / max(1, a.sum() + b.sum()))).tolist():
+        for _, u in _units(words[i]):
+            number.setdefault(u, len(number))
+    at, of = array("i"), array("i")
     for i in range(1, len(words)):
         for u in {u for _, u in _units(words[i])}:
-            at.append(number.setdefault(u, len(number)))
-            of.append(i)
+            k = number.get(u)
+            if k is not None:
+                at.append(k)
+                of.append(i)
     names = list(number)
-    at, of = np.array(at, np.int64), np.array(of, np.int64)
-    ok = _contrast(np.bincount(at, a[of], len(names)), np.bincount(at, b[of], len(names))) if names else np.zeros(0, bool)
+    at, of = np.array(at, np.int32), np.array(of, np.int32)
+    ok = _contrast(np.bincount(at, a[of], len(names)).astype(np.int64), np.bincount(at, b[of], len(names)).astype(np.int64)) if names else np.zeros(0, bool)
     units = {names[i] for i in np.flatnonzero(ok)}
     spans = {int(i): _spans(words[i], units) for i in np.unique(of[ok[at]]) if a[i]} if len(at) else {}
     marked = np.zeros(len(words), bool)
@@ -294,9 +315,11 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 def dictionaries(part: list[tuple[str, int]]) -> tuple[bytes, bytes, bytes]:
     """The ordinary dictionary of a labelled sample, what toxic passages share with ordinary text, and the toxic one; empty
     where there is nothing to train one on."""
-    cut = [w for t, y in part if not y for w in windows(t, TRAINED_WORDS)]
-    cut = cut[:: 1 + len(cut) // TRAINED_ON]
+    plain = [t for t, y in part if not y]
+    every = sum(len(range(0, max(1, n - OVERLAP), TRAINED_WORDS - OVERLAP)) for n in (len(_words(t)) for t in plain) if n)
+    cut = list(islice((w for t in plain for w in windows(t, TRAINED_WORDS)), 0, None, 1 + every // TRAINED_ON))
     ordinary = _dictionary(cut, min(ORDINARY_BYTES, max(1024, sum(map(len, cut)) // 4))) if cut else b""
+    del cut
     passages = toxic_passages(part)
     if not passages:
         return ordinary, b"", b""
@@ -306,9 +329,8 @@ def dictionaries(part: list[tuple[str, int]]) -> tuple[bytes, bytes, bytes]:
     # What the trainer had no room for goes before it, the rarest first.
     toxic = (b"".join(s for s in order if s not in toxic) + toxic)[-TOXIC_BYTES:]
     # Parts of passages that ordinary text meets by themselves are no savings.
-    texts = [[b" " + b" ".join(_words(t)) + b" " for t, y in part if y == k] for k in (0, 1)]
-    plain, met = (_runs_met(t, order) for t in texts)
-    scale = RATIO * max(1, sum(map(len, texts[1]))) / max(1, sum(map(len, texts[0])))
+    (plain, a), (met, b) = (_runs_met((t for t, y in part if y == k), order) for k in (0, 1))
+    scale = RATIO * max(1, b) / max(1, a)
     shared = sorted((r for r, n in plain.items() if met[r] < scale * n), key=lambda r: (plain[r], r))
     return ordinary, b"\0".join(shared)[-TOXIC_BYTES:], toxic
 
@@ -392,4 +414,6 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> ToxicityModel:
     """Fit on the labelled rows of ``docs``; leave held-out rows away before."""
-    return fit_toxicity(training_sample(docs, labels, **bounds))
+    model = fit_toxicity(training_sample(docs, labels, **bounds))
+    give_back()
+    return model
