@@ -206,12 +206,13 @@ def _leaning(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return a / np.maximum(a + b, 1) >= RATIO * p / (1 + (RATIO - 1) * p)
 
 
-def _contrast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether counts ``a`` in toxic text stand out against ``b`` in ordinary text, by a likelihood ratio."""
+def _contrast(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Whether counts ``a`` in toxic text, of which there is a share ``p``, stand out against ``b`` in ordinary text, by a
+    likelihood ratio."""
     out = np.zeros(len(a), bool)
-    if not a.sum() or not b.sum():
+    if not 0 < p < 1:
         return out
-    p, least = a.sum() / (a.sum() + b.sum()), math.log(max(1, int(((a > 0) | (b > 0)).sum()))) + MARGIN
+    least = math.log(max(1, int(((a > 0) | (b > 0)).sum()))) + MARGIN
     at = np.flatnonzero(a > 1)  # one context never stands out
     a, b = a[at].astype(float), b[at].astype(float)
     n = a + b
@@ -273,9 +274,10 @@ def toxic_passages(part: list[tuple[str, int]]) -> list[list[bytes]]:
     """What of each toxic text contrasts with ordinary text; texts without any left out."""
     words, ordinary, toxic = _numbered(part)
     a, b = _word_contexts(toxic, len(words)), _word_contexts(ordinary, len(words))
+    p = a.sum() / max(1, a.sum() + b.sum())
     # A run that leans to toxic text is part of a word that does.
     number: dict[bytes, int] = {}
-    for i in np.flatnonzero((a > 0) & _leaning(a, b, a.sum() / max(1, a.sum() + b.sum()))).tolist():
+    for i in np.flatnonzero((a > 0) & _leaning(a, b, p)).tolist():
         for _, u in _units(words[i]):
             number.setdefault(u, len(number))
     at, of = array("i"), array("i")
@@ -287,12 +289,12 @@ def toxic_passages(part: list[tuple[str, int]]) -> list[list[bytes]]:
                 of.append(i)
     names = list(number)
     at, of = np.array(at, np.int32), np.array(of, np.int32)
-    ok = _contrast(np.bincount(at, a[of], len(names)).astype(np.int64), np.bincount(at, b[of], len(names)).astype(np.int64)) if names else np.zeros(0, bool)
+    ok = _contrast(np.bincount(at, a[of], len(names)).astype(np.int64), np.bincount(at, b[of], len(names)).astype(np.int64), p) if names else np.zeros(0, bool)
     units = {names[i] for i in np.flatnonzero(ok)}
     spans = {int(i): _spans(words[i], units) for i in np.unique(of[ok[at]]) if a[i]} if len(at) else {}
     marked = np.zeros(len(words), bool)
     marked[list(spans)] = True
-    pairs = _contrast(_pair_contexts(toxic, ~marked), _pair_contexts(ordinary, ~marked))
+    pairs = _contrast(_pair_contexts(toxic, ~marked), _pair_contexts(ordinary, ~marked), p)
     out = []
     for w in toxic:
         found = [s for i in dict.fromkeys(w[marked[w]].tolist()) for s in spans[i]]
