@@ -118,3 +118,28 @@ def test_corpus_helpers(spark):
     assert files.lookup_fuzzy(spark.createDataFrame([("Grover_n8",)], "name string"), spark.createDataFrame([("grover", "g"), ("zz", "h")], "key string, path string")).first().path == "g"
     ops = files.synthetic_ops(spark, spark.createDataFrame([("ghz", 3), ("bell", 9)], "family string, n int"))
     assert files.with_final_measures(ops).groupBy("circuit_id").count().orderBy("circuit_id").collect()[0][1] == 4
+
+
+def test_synthetic_circuits_do_what_their_names_say(spark):
+    from tracecut.operators import simulate
+
+    ops = files.synthetic_ops(spark, spark.createDataFrame([("teleport", 3), ("grover", 2), ("vqe", 3), ("bell", 2), ("grover", 1)], "family string, n int")).cache()
+    states = {(r.circuit_id, r.qubit): r for r in simulate.reduced_states(ops).collect()}
+    assert all(r.status == "ok" for r in states.values())
+    assert abs(states["teleport_3", 2].r00 - 1) < 1e-9 and abs(states["teleport_3", 0].r00 - 0.5) < 1e-9  # what is sent is 0
+    assert abs(states["bell_2", 0].r00 - 0.5) < 1e-9 and abs(states["grover_1", 0].r00 - 0.5) < 1e-9
+    assert [(r.gate, list(r.qubits)) for r in ops.where("circuit_id = 'vqe_3'").orderBy("pos").collect()] == [("ry", [0]), ("ry", [1]), ("ry", [2]), ("cx", [0, 1]), ("cx", [1, 2]), ("ry", [0]), ("ry", [1]), ("ry", [2])]
+    angles = [r.params[0] for r in ops.where("gate = 'ry'").collect()]
+    assert len(set(angles)) == 6
+    bits = {(r.circuit_id, r.a, r.b): r for r in simulate.pair_information(ops).collect()}
+    assert abs(bits["bell_2", 0, 1].bits - 2) < 1e-9 and "branches" in bits["teleport_3", None, None].status and ("grover_1", 0, 1) not in bits
+
+
+def test_random_sample_has_no_repeats_and_does_not_move(spark):
+    from tracecut.operators import tables
+
+    df = spark.range(100).selectExpr("id % 3 AS g", "id AS x")
+    a = sorted(map(tuple, tables.random_sample(df, "g", "x", 8, 5).collect()))
+    assert a == sorted(map(tuple, tables.random_sample(df.repartition(7), "g", "x", 8, 5).collect()))
+    assert len(set(a)) == 24 and a != sorted(map(tuple, tables.random_sample(df, "g", "x", 8, 6).collect()))
+    assert tables.random_sample(df.limit(0), "g", "x", 8).count() == 0

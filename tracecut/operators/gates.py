@@ -15,6 +15,8 @@ NUM_CTRL = {"cx": 1, "cnot": 1, "cy": 1, "cz": 1, "ch": 1, "cp": 1, "crx": 1, "c
 MEASURES = ("measure", "reset")
 PASSIVE = ("barrier", "delay")
 TWO_QUBIT_COUNTED = ("cx", "cnot", "cz", "ecr", "rzz")
+#: The same where a corpus is loaded.
+TWO_QUBIT_LOADED = ("cx", "cnot", "cz", "ecr")
 #: Gates that the lenient reader keeps.
 LENIENT = ("id", "x", "y", "z", "h", "s", "sdg", "t", "tdg", "rx", "ry", "rz", "p", "u1", "u2", "u3", "u", "cx", "cnot", "cz", "cy", "ch", "swap", "ccx", "toffoli")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .gates import MEASURES, PASSIVE, TWO_QUBIT_COUNTED
+from .gates import MEASURES, PASSIVE, TWO_QUBIT_LOADED
 from .edges import wires
 
 
@@ -98,7 +98,7 @@ def metadata(ops: DataFrame, bins: tuple[int, int] = (50, 500)) -> DataFrame:
     out = ops.groupBy("circuit_id").agg(
         (F.max(F.array_max("qubits")) + 1).alias("n_qubits"),
         F.count(F.lit(1)).alias("n_gates"),
-        F.count_if(F.col("gate").isin(*TWO_QUBIT_COUNTED)).alias("n_cx"),
+        F.count_if(F.col("gate").isin(*TWO_QUBIT_LOADED)).alias("n_cx"),
         F.max(F.size("qubits")).alias("arity"),
     )
     return out.withColumn("size_bin", size_bin(F.col("n_gates"), bins))

@@ -265,6 +265,25 @@ def mutual_information(m: Machine, a: int, b: int) -> float:
     return entropy_bits(_as_matrix(m.reduced(a))) + entropy_bits(_as_matrix(m.reduced(b))) - entropy_bits(m.pair(a, b))
 
 
+def pair_information(ops: DataFrame) -> DataFrame:
+    """(circuit_id, a, b, bits, status): mutual information of each pair of qubits after a log without open measurements."""
+    kind = dict(ops.dtypes)["circuit_id"]
+
+    def informed(r: dict):
+        try:
+            m = Machine(_n(r)).run(r["log"], set())
+            if len(m.psi) > 1:
+                raise TooLarge(f"{len(m.psi)} branches, one wanted")
+        except (TooLarge, UnknownGate) as e:
+            yield (r["circuit_id"], None, None, None, _row_status(e))
+            return
+        for a in range(m.n):
+            for b in range(a + 1, m.n):
+                yield (r["circuit_id"], a, b, mutual_information(m, a, b), "ok")
+
+    return _map(op_rows(ops), informed, f"circuit_id {kind}, a int, b int, bits double, status string")
+
+
 def separable(psi: np.ndarray, n: int, a: int, b: int, eps: float) -> bool:
     """Whether two qubits of a pure state carry less than ``eps`` bits of mutual information.
 

@@ -137,6 +137,13 @@ def evenly_spaced(n: Column, most: int) -> Column:
     return F.when(n <= 0, F.array().cast("array<int>")).when(n <= most, every).otherwise(F.array_distinct(some))
 
 
+def random_sample(df: DataFrame, group: str, item: str, n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows of each group without replacement, in the order of a hash of seed, group and item: the same rows
+    however the table is dealt."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(item).cast("string")).cast("binary"))
+    return top_per_group(df, group, [key, F.col(item)], n).drop("rank")
+
+
 def long_to_wide(df: DataFrame, keys: list[str], method: str, metrics: list[str], methods: list[str]) -> DataFrame:
     """Means by method as columns method__metric; null keys are kept."""
     return df.groupBy(*keys).agg(*[F.avg(F.when(F.col(method) == m, F.col(x))).alias(f"{m}__{x}") for m in methods for x in metrics])
@@ -183,6 +190,11 @@ def violation_rates(df: DataFrame, scope: str, unit: str, variant: str, violated
     return both.join(base, [scope, "unit"], "left").select(scope, "unit", variant, "n", F.round("svr", 4).alias("svr"), delta.alias("delta_svr"))
 
 
+def ablation_rollup(rates: DataFrame, keys: list[str], delta: str) -> DataFrame:
+    """(keys, n_variants, mean_delta, max_delta): mean and largest size of the change that leaving out each variant makes."""
+    return rates.where(F.col(delta).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_variants"), F.avg(F.abs(delta)).alias("mean_delta"), F.max(F.abs(delta)).alias("max_delta"))
+
+
 def completion(df: DataFrame, status: str, value: str, done: str) -> DataFrame:
     """One row: n, completed, median, p95 and largest of the completed."""
     v = F.when(F.col(status) == done, F.col(value))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import comparisons, simplified, slices
 from ..sources import files, lenses
+from . import graph
 from .graph import EDGES
-from .registry import query
+from .registry import ORACLE, query
 
 c = F.col
 _CIRC = "circ AS (SELECT c_custkey AS path, c_mktsegment AS corpus, 'c' || (c_custkey % 700) AS name, CAST(c_nationkey + 1 AS INTEGER) AS n_qubits, CAST(c_custkey % 90 AS INTEGER) AS n_ops FROM customer)"
@@ -52,15 +53,29 @@ def manifest_check(spark, d):
     return files.verify_manifest(docs.where("doc_id % 50 <> 0").select("path", "sha256"), manifest)
 
 
-@query("synthetic_gate_counts", """WITH w AS (SELECT f AS family, n FROM (SELECT unnest(['ghz', 'qft', 'vqe']) AS f), (SELECT DISTINCT CAST(n_nationkey % 9 + 2 AS INTEGER) AS n FROM nation))
-SELECT family || '_' || n AS circuit_id, gate, CASE gate WHEN 'h' THEN CASE family WHEN 'ghz' THEN 1 ELSE n END WHEN 'cx' THEN n - 1 WHEN 'cp' THEN n * (n - 1) // 2 ELSE n END AS cnt
-FROM w, (SELECT unnest(['h', 'cx', 'cp', 'ry']) AS gate) WHERE (family, gate) IN (('ghz', 'h'), ('ghz', 'cx'), ('qft', 'h'), ('qft', 'cp'), ('vqe', 'ry'), ('vqe', 'cx'))""")
+@query("synthetic_gate_counts", """WITH w AS (SELECT f AS family, n FROM (SELECT unnest(['ghz', 'bell', 'qft', 'grover', 'teleport', 'vqe']) AS f), (SELECT DISTINCT CAST(n_nationkey % 9 + 2 AS INTEGER) AS n FROM nation)),
+g AS (SELECT family || '_' || n AS circuit_id, gate, CAST(CASE family
+  WHEN 'ghz' THEN CASE gate WHEN 'h' THEN 1 WHEN 'cx' THEN n - 1 END
+  WHEN 'bell' THEN CASE gate WHEN 'h' THEN 1 WHEN 'cx' THEN 1 END
+  WHEN 'qft' THEN CASE gate WHEN 'h' THEN n WHEN 'cp' THEN n * (n - 1) // 2 END
+  WHEN 'grover' THEN CASE gate WHEN 'h' THEN 3 * n WHEN 'x' THEN 2 * n WHEN 'cz' THEN 2 END
+  WHEN 'teleport' THEN CASE gate WHEN 'h' THEN 2 WHEN 'cx' THEN 2 WHEN 'x' THEN 1 WHEN 'z' THEN 1 WHEN 'measure' THEN 3 END
+  ELSE CASE gate WHEN 'ry' THEN 2 * n WHEN 'cx' THEN n - 1 END END AS INTEGER) AS cnt FROM w, (SELECT unnest(['h', 'cx', 'cp', 'ry', 'x', 'z', 'cz', 'measure']) AS gate))
+SELECT circuit_id, gate, cnt FROM g WHERE cnt IS NOT NULL""")
 def synthetic_gate_counts(spark, d):
     n = lenses.table(spark, d, "nation").select((c("n_nationkey") % 9 + 2).cast("int").alias("n")).distinct()
-    w = n.withColumn("family", F.explode(F.array(F.lit("ghz"), F.lit("qft"), F.lit("vqe"))))
+    w = n.withColumn("family", F.explode(F.array(*map(F.lit, ("ghz", "bell", "qft", "grover", "teleport", "vqe")))))
     return files.synthetic_ops(spark, w).groupBy("circuit_id", "gate").agg(F.count(F.lit(1)).cast("int").alias("cnt"))
 
 
+@query("structural_means", f"""SELECT m.size_bin AS category, count(*) AS n_circuits, round(avg(m.n_qubits), 6) AS mean_qubits, round(avg(s.mean_dropped_2q), 6) AS mean_dropped_2q, round(avg(s.signature), 6) AS signature
+FROM ({ORACLE['dropped_two_qubit_signature']}) s JOIN ({ORACLE['circuit_metadata']}) m USING (circuit_id) GROUP BY ALL""")
+def structural_means(spark, d):
+    known = graph.circuit_metadata(spark, d).select("circuit_id", c("size_bin").alias("category"), "n_qubits")
+    out = files.structural_means(graph.dropped_two_qubit_signature(spark, d).join(known, "circuit_id"))
+    return out.select("category", "n_circuits", *[F.round(x, 6).alias(x) for x in ("mean_qubits", "mean_dropped_2q", "signature")])
+
+
 @query("component_slice_size", f"WITH RECURSIVE {EDGES} SELECT t.circuit_id, t.target, CAST(count(DISTINCT w.pos) AS INTEGER) AS size FROM targets t JOIN comp a ON a.circuit_id = t.circuit_id AND a.q = t.target JOIN comp b ON b.circuit_id = t.circuit_id AND b.component = a.component JOIN wires w ON w.circuit_id = t.circuit_id AND w.q = b.q GROUP BY ALL")
 def component_slice_size(spark, d):
     return simplified.component_slices(lenses.ops(spark, d)).select("circuit_id", "target", F.size("positions").alias("size"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import prepare, tables
 from ..sources import lenses
-from .registry import query
+from .registry import ORACLE, query
 
 t = lenses.table
 REC = f"WITH {lenses.RECORDS_SQL}"
@@ -37,6 +37,12 @@ def svr_pair_circuit(spark, d):
     return tables.violation_rates(s.withColumn("variant", F.concat(F.lit("v"), "flag_b")), "scope", "circuit", "variant", "flag_a", "v0")
 
 
+@query("ablation_rollup", f"SELECT scope, unit, count(*) AS n_variants, round(avg(abs(delta_svr)), 6) AS mean_delta, round(max(abs(delta_svr)), 6) AS max_delta FROM ({ORACLE['svr_pair_circuit']}) WHERE delta_svr IS NOT NULL GROUP BY ALL")
+def ablation_rollup(spark, d):
+    out = tables.ablation_rollup(svr_pair_circuit(spark, d), ["scope", "unit"], "delta_svr")
+    return out.select("scope", "unit", "n_variants", r6(c("mean_delta"), "mean_delta"), r6(c("max_delta"), "max_delta"))
+
+
 @query("pivot_methods", "SELECT l_orderkey % 1000 AS circuit, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS A__q, round(avg(l_quantity) FILTER (l_returnflag = 'N'), 6) AS N__q, round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS R__q FROM lineitem GROUP BY ALL")
 def pivot_methods(spark, d):
     li = t(spark, d, "lineitem").select((c("l_orderkey") % 1000).alias("circuit"), "l_returnflag", c("l_quantity").alias("q"))
@@ -120,6 +126,11 @@ def custom_order(spark, d):
     return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.array_position(order, c("o_orderpriority"))).orderBy("place")
 
 
+@query("sampled_targets", f"WITH {lenses.OPS_SQL} SELECT circuit_id, q FROM (SELECT circuit_id, q, row_number() OVER (PARTITION BY circuit_id ORDER BY md5('0:' || circuit_id || ':' || q), q) AS r FROM (SELECT DISTINCT circuit_id, q FROM wires)) WHERE r <= 3")
+def sampled_targets(spark, d):
+    return tables.random_sample(prepare.wires(lenses.ops(spark, d)).select("circuit_id", "q").distinct(), "circuit_id", "q", 3)
+
+
 @query("evenly_spaced_targets", "WITH n AS (SELECT c_custkey AS k, CAST(c_custkey % 23 AS INTEGER) AS n FROM customer) SELECT k, CASE WHEN n <= 0 THEN '' WHEN n <= 8 THEN array_to_string(range(0, n), ',') ELSE array_to_string(list_sort(list_distinct(list_transform(range(0, 8), lambda i: CAST(round_even(i * CAST(n - 1 AS DOUBLE) / 7, 0) AS INTEGER)))), ',') END AS places FROM n")
 def evenly_spaced_targets(spark, d):
     n = t(spark, d, "customer").select(c("c_custkey").alias("k"), (c("c_custkey") % 23).cast("int").alias("n"))

@@ -107,6 +107,11 @@ def pruned_slices(spark, d):
     return slices.slice_sizes(simulate.pruned_slices(o, slices.slices(o, n_qubits=lenses.N_QUBITS)))
 
 
+@query("pair_information")
+def pair_information(spark, d):
+    return simulate.pair_information(unitary_ops(spark, d)).withColumn("bits", F.round("bits", 6))
+
+
 @query("influence_truth")
 def influence_truth(spark, d):
     return simulate.influence(unitary_ops(spark, d)).select("circuit_id", "target", F.size("qubits").alias("n_influenced"), "status")

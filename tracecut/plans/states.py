@@ -103,10 +103,12 @@ def mcnemar_counts(spark, d):
     return stats.contingency(lenses.paired_records(spark, d), ["corpus"], "flag_a", "flag_b")
 
 
-@query("mcnemar_exact")
+@query("mcnemar_exact", REC + """, c AS (SELECT corpus, CAST(circuit % 97 AS INTEGER) AS bucket, count(*) FILTER (flag_a = 0 AND flag_b = 0) AS n00, count(*) FILTER (flag_a = 0 AND flag_b = 1) AS n01, count(*) FILTER (flag_a = 1 AND flag_b = 0) AS n10, count(*) FILTER (flag_a = 1 AND flag_b = 1) AS n11 FROM rec GROUP BY ALL),
+tail AS (SELECT *, n01 + n10 AS n, list_sum(list_transform(range(0, least(n01, n10) + 1), lambda i: exp(lgamma(n01 + n10 + 1) - lgamma(i + 1) - lgamma(n01 + n10 - i + 1) - (n01 + n10) * ln(2)))) AS half FROM c)
+SELECT corpus, bucket, n00, n01, n10, n11, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * half) END, 6) AS p FROM tail""")
 def mcnemar_exact(spark, d):
     rec = lenses.paired_records(spark, d).withColumn("bucket", (F.col("circuit") % 97).cast("int"))
-    return stats.mcnemar_exact(stats.contingency(rec, ["corpus", "bucket"], "flag_a", "flag_b"))
+    return stats.mcnemar_exact(stats.contingency(rec, ["corpus", "bucket"], "flag_a", "flag_b")).withColumn("p", r("p"))
 
 
 _CELLS = ", c AS (SELECT corpus, count(*) FILTER (flag_a = 0 AND flag_b = 1) AS n01, count(*) FILTER (flag_a = 1 AND flag_b = 0) AS n10 FROM rec GROUP BY ALL)"

@@ -65,6 +65,13 @@ def available_per_category(circuits: DataFrame, max_qubits: int) -> DataFrame:
     return circuits.groupBy("category").agg(F.count_if(F.col("n_qubits") <= max_qubits).alias("n"))
 
 
+def structural_means(circuits: DataFrame) -> DataFrame:
+    """(category, n_circuits, mean_qubits, mean_dropped_2q, signature) of rows (category, n_qubits, mean_dropped_2q, signature)."""
+    return circuits.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_circuits"), F.avg("n_qubits").alias("mean_qubits"), F.avg("mean_dropped_2q").alias("mean_dropped_2q"), F.avg("signature").alias("signature"),
+    )
+
+
 def first_by_stem(circuits: DataFrame) -> DataFrame:
     """One circuit for each name: the first root, then the first path."""
     return first_per_key(circuits, ["name"], ["root", "path"])
@@ -105,27 +112,44 @@ def extract_archives(root: str) -> list[str]:
 # --- synthetic circuits ----------------------------------------------------------------------------------------------
 
 
-def synthetic_ops(spark: SparkSession, widths: DataFrame) -> DataFrame:
-    """Ops of ghz, bell, qft and layered rotation circuits for each (family, n); angles of "vqe" come from a hash."""
-    rows = widths.withColumn("circuit_id", F.concat_ws("_", "family", F.col("n").cast("string")))
-    step = lambda gate, qubits, params=(), order=0: F.struct(F.lit(order).alias("o"), F.lit(gate).alias("gate"), F.array(*qubits).alias("qubits"), F.array(*params).cast("array<double>").alias("params"))
-    i, j = F.col("i"), F.col("j")
-    chain = rows.where("family IN ('ghz', 'bell')").withColumn("n", F.when(F.col("family") == "bell", 2).otherwise(F.col("n")))
-    ghz = chain.select("circuit_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("circuit_id", F.struct(i.alias("a"), F.lit(0).alias("b")).alias("k"), F.when(i == 0, step("h", [F.lit(0)])).otherwise(step("cx", [i - 1, i])).alias("s"))
-    qft = rows.where("family = 'qft'").select("circuit_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("circuit_id", "n", "i", F.explode(F.sequence(i, F.col("n") - 1)).alias("j"))
-    qft = qft.select("circuit_id", F.struct(i.alias("a"), j.alias("b")).alias("k"), F.when(i == j, step("h", [i])).otherwise(step("cp", [j, i], [F.lit(math.pi) / F.pow(F.lit(2.0), j - i)])).alias("s"))
-    vqe = rows.where("family = 'vqe'").select("circuit_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    angle = F.pmod(F.xxhash64("circuit_id", "i"), F.lit(1 << 40)).cast("double") / float(1 << 40) * (2 * math.pi)
-    turns = vqe.select("circuit_id", F.struct(F.lit(0).alias("a"), i.alias("b")).alias("k"), step("ry", [i], [angle]).alias("s"))
-    links = vqe.where(i > 0).select("circuit_id", F.struct(F.lit(1).alias("a"), i.alias("b")).alias("k"), step("cx", [i - 1, i]).alias("s"))
-    every = ghz.unionByName(qft).unionByName(turns).unionByName(links)
-    out = every.withColumn("pos", (F.row_number().over(Window.partitionBy("circuit_id").orderBy("k")) - 1).cast("int"))
-    return out.select(
-        "circuit_id", "pos", "s.gate", F.transform("s.qubits", lambda q: q.cast("int")).alias("qubits"), F.array().cast("array<int>").alias("clbits"), "s.params",
-        F.lit(None).cast("struct<bits:array<int>,value:bigint>").alias("cond"), F.when(F.col("s.gate").isin("cx", "cp"), 1).otherwise(0).alias("num_ctrl"),
+def _step(gate: str, qubits: list, angle: Column | None = None, clbit: int | None = None, when: int | None = None) -> Column:
+    ints = lambda xs: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]).cast("array<int>")
+    cond = F.lit(None) if when is None else F.struct(ints([when]).alias("bits"), F.lit(1).cast("bigint").alias("value"))
+    return F.struct(
+        F.lit(gate).alias("gate"), ints(qubits).alias("qubits"), ints([] if clbit is None else [clbit]).alias("clbits"),
+        F.array(*([] if angle is None else [angle])).cast("array<double>").alias("params"), cond.cast("struct<bits:array<int>,value:bigint>").alias("cond"),
     )
 
 
+def synthetic_ops(spark: SparkSession, widths: DataFrame) -> DataFrame:
+    """Ops of a circuit for each (family, n): ghz, bell, qft, grover, teleport or vqe, whose angles come from a hash.
+
+    bell has two qubits and teleport three, whatever ``n`` says. Only teleport measures and has conditions;
+    ``with_final_measures`` measures the others.
+    """
+    rows = widths.withColumn("circuit_id", F.concat_ws("_", "family", F.col("n").cast("string"))).withColumn("n", F.when(F.col("family") == "bell", 2).otherwise(F.col("n")))
+    i, j, layer = F.col("i"), F.col("j"), F.col("layer")
+    each = rows.where("family <> 'teleport'").select("family", "circuit_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+
+    def placed(df: DataFrame, a: Column, b: Column, step: Column) -> DataFrame:
+        return df.select("circuit_id", F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")).alias("k"), step.alias("s"))
+
+    chain = each.where("family IN ('ghz', 'bell')")
+    ghz = placed(chain, i, F.lit(0), F.when(i == 0, _step("h", [0])).otherwise(_step("cx", [i - 1, i])))
+    pairs = each.where("family = 'qft'").withColumn("j", F.explode(F.sequence(i, F.col("n") - 1)))
+    qft = placed(pairs, i, j, F.when(i == j, _step("h", [i])).otherwise(_step("cp", [i, j], F.lit(math.pi) / F.pow(F.lit(2.0), j - i))))
+    # Layers of grover: h, cz, h, x, cz, x, h; cz links the first two qubits.
+    walls = each.where("family = 'grover'").withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(6)))).where(~layer.isin(1, 4) | ((i == 0) & (F.col("n") >= 2)))
+    grover = placed(walls, layer, i, F.when(layer.isin(1, 4), _step("cz", [0, 1])).when(layer.isin(3, 5), _step("x", [i])).otherwise(_step("h", [i])))
+    carried = [_step("h", [1]), _step("cx", [1, 2]), _step("cx", [0, 1]), _step("h", [0]), _step("measure", [0], clbit=0), _step("measure", [1], clbit=1), _step("x", [2], when=1), _step("z", [2], when=0), _step("measure", [2], clbit=2)]
+    teleport = rows.where("family = 'teleport'").select("circuit_id", F.posexplode(F.array(*carried)).alias("p", "s")).select("circuit_id", F.struct(F.col("p").alias("a"), F.lit(0).alias("b")).alias("k"), "s")
+    vqe = each.where("family = 'vqe'").withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(2)))).where((layer != 1) | (i > 0))
+    angle = F.pmod(F.xxhash64("circuit_id", "layer", "i"), F.lit(1 << 40)).cast("double") / float(1 << 40) * (2 * math.pi)
+    turns = placed(vqe, layer, i, F.when(layer == 1, _step("cx", [i - 1, i])).otherwise(_step("ry", [i], angle)))
+    out = union_by_name([ghz, qft, grover, teleport, turns]).withColumn("pos", (F.row_number().over(Window.partitionBy("circuit_id").orderBy("k")) - 1).cast("int"))
+    return out.select("circuit_id", "pos", "s.gate", "s.qubits", "s.clbits", "s.params", "s.cond", F.when(F.col("s.gate").isin("cx", "cp", "cz"), 1).otherwise(0).alias("num_ctrl"))
+
+
 def with_final_measures(ops: DataFrame) -> DataFrame:
     """Circuits without a measure get one on each qubit, at the end."""
     bare = ops.groupBy("circuit_id").agg(F.count_if(F.col("gate") == "measure").alias("m"), (F.max("pos") + 1).alias("end"), F.max(F.array_max("qubits")).alias("top")).where("m = 0")
