@@ -9,7 +9,8 @@ the window's evidence, as a likelihood ratio from the threshold on from which sa
 evidence is that of all its windows, of which a toxic text has about as many toxic ones however long it is. Ratios,
 threshold and the steps from evidence to a probability are calibrated on a third of the sample, which the dictionaries that
 score have not seen. Matches are chosen by zstandard's optimal parser: a greedy one takes other matches where a dictionary
-has one more, and blurs the difference.
+has one more, and blurs the difference. A window that holds no run of ``MIN_MATCH`` bytes of the toxic dictionary has no
+match there and saves nothing; only the others are compressed.
 
 Defined cases: null and empty texts have no windows and evidence 0; texts of any length are read whole; repeated rows are
 scored alike; an empty table gives no rows; a text without evidence never reaches one half, so a model that has learnt
@@ -58,6 +59,8 @@ NO_EVIDENCE = 0.49
 MOST = 24
 #: Bits of the slots of contexts seen, one bit each, and of those of counts of word pairs.
 _CONTEXTS, _PAIRS = 27, 22
+#: Bits of the slots that tell most runs of a text from those of the toxic dictionary, before they are compared.
+_RUNS = 20
 
 
 @dataclass(frozen=True)
@@ -105,15 +108,27 @@ class Measure:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=par)
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=par))
+        self.runs = np.unique(_packed(model.toxic))
+        self.slots = np.zeros(1 << _RUNS, bool)
+        self.slots[_run_slots(self.runs)] = True
+
+    def _meeting(self, cut: list[bytes]) -> np.ndarray:
+        """Places of the windows that hold a run of MIN_MATCH bytes of the toxic dictionary; the others have no match there."""
+        v = _packed(b"".join(cut))
+        at = np.flatnonzero(self.slots[_run_slots(v)])
+        at = at[self.runs[np.minimum(np.searchsorted(self.runs, v[at]), len(self.runs) - 1)] == v[at]] if len(self.runs) else at[:0]
+        return np.unique(np.searchsorted(np.cumsum(list(map(len, cut))), at, side="right"))
 
     def saved(self, cut: list[bytes]) -> np.ndarray:
         if not cut or not self.model.toxic:
             return np.zeros(len(cut), np.int64)
-        out = np.empty(len(cut), np.int64)
+        out = np.zeros(len(cut), np.int64)
         for at in range(0, len(cut), 10_000):
             part = cut[at : at + 10_000]
-            a, b = (c.multi_compress_to_buffer(part) for c in self.coders)
-            out[at : at + len(part)] = [len(a[i]) - len(b[i]) for i in range(len(part))]
+            met = self._meeting(part)
+            if len(met):
+                a, b = (c.multi_compress_to_buffer([part[i] for i in met.tolist()]) for c in self.coders)
+                out[at + met] = [len(a[i]) - len(b[i]) for i in range(len(met))]
         return out
 
     def by_text(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,6 +285,10 @@ def _packed(t: bytes) -> np.ndarray:
     return sum((flat[j : n + j] << np.uint64(8 * j) for j in range(MIN_MATCH)), np.zeros(n, np.uint64))
 
 
+def _run_slots(runs: np.ndarray) -> np.ndarray:
+    return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _RUNS)).astype(np.int64)
+
+
 def toxic_passages(part: list[tuple[str, int]]) -> list[list[bytes]]:
     """What of each toxic text contrasts with ordinary text; texts without any left out."""
     words, ordinary, toxic = _numbered(part)
