@@ -213,6 +213,50 @@ def test_components_and_layers(spark):
     assert {r.pos: r.layer for r in slices.layers(o).collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
 
 
+def test_slice_states_equal_runs_of_single_circuits(spark):
+    rng = random.Random(5)
+
+    def some():
+        a, b = rng.sample(range(3), 2)
+        cond = rng.choice([None, None, ([rng.randrange(3)], rng.randrange(2)), ([0, 2], rng.randrange(4))])
+        kind = rng.choice(["h", "cx", "measure", "ry", "reset", "u3", "barrier"])
+        if kind == "measure":
+            return op(kind, a, c=rng.randrange(3), cond=cond)
+        return op(kind, *([a, b] if kind == "cx" else [a]), params=[rng.random() * 3 for _ in range({"ry": 1, "u3": 3}.get(kind, 0))], cond=cond)
+
+    programs = [[op("h", 2), *(some() for _ in range(rng.randint(1, 12)))] for _ in range(60)]
+    programs += programs[:20]  # equal circuits
+    cuts = [(i, t, m, sorted(rng.sample(range(len(p)), rng.randint(0, len(p))))) for i, p in enumerate(programs) for t in range(3) for m in ("a", "b")]
+    got = simulate.slice_states(frame(spark, *programs), spark.createDataFrame(cuts, "circuit_id int, target int, method string, positions array<int>")).collect()
+    rows = {(r.circuit_id, r.target, r.method): r for r in got}
+    assert len(got) == len(cuts)
+    for i, t, m, kept in cuts:
+        log = [{"pos": p, "gate": g, "qubits": q, "clbits": c, "params": a, "cond": None if k is None else {"bits": k[0], "value": k[1]}} for p, (g, q, c, a, k, _) in enumerate(programs[i])]
+        last = simulate.terminal_measures(log)
+        a, b = (simulate.Machine(3).run([o for o in log if o["pos"] in some], last).reduced(t) for some in (range(len(log)), kept))
+        r = rows[i, t, m]
+        assert r.status == "ok" and abs(r.fidelity - simulate.fidelity(a, b)) < 1e-6 and abs(r.trace_distance - simulate.distance(a, b)) < 1e-9
+
+
+def test_batches_that_are_split_give_the_same_states(monkeypatch):
+    ops = [("h", (q,), None, (), None, False) for q in range(3)] + [("measure", (q,), q, (), None, False) for q in range(3)] + [("x", (0,), None, (), ((1, 2), 3), False)]
+    runs = [(0, 3, 1, 4, 2, 5, 6), (0, 1, 4), (2, 5, 0, 3), (), (1, 4, 2, 5, 6)]
+    whole = simulate.Batch(3, ops, runs)
+    monkeypatch.setattr(simulate, "SPLIT_BYTES", 1)
+    parts = simulate.Batch(3, ops, runs)
+    assert not whole.errors and not parts.errors and abs(whole.states - parts.states).max() < 1e-12
+    monkeypatch.setattr(simulate, "MAX_BRANCHES", 4)
+    assert simulate.Batch(3, ops, runs).errors == {0: "TooLarge: 8 branches"}
+    assert set(simulate.Batch(17, ops, runs).errors.values()) == {"TooLarge: 17 qubits"}
+
+
+def test_a_slice_beyond_a_limit_carries_its_status(spark):
+    o = frame(spark, [op("x", 0), op("x", 0), op("measure", 0, c=0), op("odd", 1, cond=([0], 1))])
+    cuts = spark.createDataFrame([(0, 1, "whole", [0, 1, 2, 3]), (0, 1, "cut", [0, 2, 3])], "circuit_id int, target int, method string, positions array<int>")
+    got = {r.method: (r.fidelity, r.status) for r in simulate.slice_states(o, cuts).collect()}
+    assert got == {"whole": (1.0, "ok"), "cut": (None, "UnknownGate: odd")}
+
+
 def test_component_slices_leave_out_qubits_without_ops(spark):
     o = frame(spark, [op("cx", 0, 3), op("h", 3), op("x", 5)])
     assert found(simplified.component_slices(o)) == {(0, 0): {0, 1}, (0, 3): {0, 1}, (0, 5): {2}}

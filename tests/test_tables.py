@@ -92,3 +92,18 @@ def test_comparison_table(spark):
     obs = spark.createDataFrame([("RQ", "size", m, str(i), float(i + (m == "b"))) for m in "ab" for i in range(8)], "rq string, metric string, method string, pair_id string, value double")
     row = comparisons.comparison_table(obs, comparisons.plan(spark, [("RQ", "size", "a", "b")])).first()
     assert (row.n_pairs, row.mean_difference, row.w_plus) == (8, -1.0, 0.0) and 0 < row.p < 0.05
+
+
+def test_violation_rates_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for frame in parts:
+            made.add(len(frame))
+            yield frame
+
+    rows = [("A", 1, "full", 0), ("A", 1, "full", 1), ("A", 2, "full", 0), ("A", 1, "cut", 1), ("A", 2, "cut", 1), ("A", 2, "cut", None)]
+    kind = "scope string, c int, variant string, bad int"
+    got = tables.violation_rates(spark.createDataFrame(rows, kind).mapInPandas(count, kind), "scope", "c", "variant", "bad", "full").collect()
+    assert {(r.unit, r.variant): (r.n, r.svr, r.delta_svr) for r in got} == {("pair", "full"): (3, 0.3333, None), ("circuit", "full"): (2, 0.5, None), ("pair", "cut"): (3, 1.0, 0.6667), ("circuit", "cut"): (2, 1.0, 0.5)}
+    assert made.value == len(rows)
