@@ -205,6 +205,13 @@ def test_variant_slices_follow_their_types(spark):
     assert got["classical_pdg", 0] == {4} and got["no_md", 0] == {4}
 
 
+def test_variant_states_are_those_of_variant_slices(spark):
+    o = frame(spark, G1, G2, G3, [op("h", 0), op("measure", 0, c=0), op("x", 1, cond=([0], 1))])
+    cuts = fgraph.variant_slices(o, edges.four_edges(o)).withColumnRenamed("variant", "method")
+    plain = lambda df: sorted((r.circuit_id, r.target, r.method, round(r.fidelity, 9), round(r.trace_distance, 9), r.status) for r in df.collect())
+    assert plain(fgraph.variant_states(o)) == plain(simulate.slice_states(o, cuts)) != []
+
+
 def test_components_and_layers(spark):
     o = frame(spark, [op("cx", 0, 3), op("cx", 1, 2), op("ccx", 2, 3, 4), op("h", 5)])
     assert {r.q: r.component for r in slices.qubit_components(o).collect()} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4, 5: 5}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edges, fgraph, prepare, simulate, slices, stats, tables
+from ..operators import fgraph, prepare, simulate, slices, stats, tables
 from ..sources import lenses
 from .registry import query
 
@@ -156,6 +156,5 @@ def outcome_probabilities(spark, d):
 def ablation_rates(spark, d):
     """Violation rates of the eight edge-type variants, by pair and by circuit, against the full graph."""
     o = small_circuits(spark, d)
-    found = fgraph.variant_slices(o, edges.four_edges(o)).select("circuit_id", "target", c("variant").alias("method"), "positions")
-    rec = simulate.slice_states(o, found).where("status = 'ok'").withColumn("violated", (c("trace_distance") > simulate.SOUND).cast("int")).withColumn("scope", F.lit("A"))
+    rec = fgraph.variant_states(o).where("status = 'ok'").withColumn("violated", (c("trace_distance") > simulate.SOUND).cast("int")).withColumn("scope", F.lit("A"))
     return tables.violation_rates(rec.withColumnRenamed("method", "variant"), "scope", "circuit_id", "variant", "violated", "full")
